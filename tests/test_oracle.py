@@ -1,0 +1,37 @@
+"""Every registered query against its SQL counterpart, value for value."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+
+import __spark_entry__ as entry_points  # noqa: E402
+
+FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
+QUERIES = entry_points.queries()
+ORACLE = entry_points.oracle_sql()
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+
+
+def test_every_query_has_a_counterpart():
+    assert set(QUERIES) == set(ORACLE)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_matches_sql(spark, name):
+    got = QUERIES[name](spark, FOLDER)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{FOLDER}/events.parquet'")
+        want = db.execute(ORACLE[name])
+        want_types = {d[0]: str(d[1]) for d in want.description}
+        want_rows = want.fetchall()
+    assert {c: TYPES[t] for c, t in got.dtypes} == want_types
+    columns = sorted(want_types)
+    rows = [tuple(r[c] for c in columns) for r in got.collect()]
+    at = [list(want_types).index(c) for c in columns]
+    expected = [tuple(r[i] for i in at) for r in want_rows]
+    assert len(rows) == len(expected)
+    assert sorted(rows, key=repr) == sorted(expected, key=repr)
