@@ -51,14 +51,14 @@ def in_range(spark: SparkSession, folder: str) -> DataFrame:
 
 def comparable(df: DataFrame) -> DataFrame:
     """Means of ratios depend on the order of a floating-point sum; six decimals do not."""
-    units = [c for c in (st.PER_CONTRACT, st.PER_SHARE) if c in df.columns]
-    return df.withColumns({c: F.round(c, 6) for c in units})
+    units = (st.PER_CONTRACT, st.PER_SHARE)
+    return df.selectExpr(*[f"ROUND({c}, 6) AS {c}" if c in units else c for c in df.columns])
 
 
 def _rows_of(strategy: st.Strategy) -> Query:
     def query(spark, folder):
-        rows = st.select_strategy(in_range(spark, folder), strategy)
-        return rows.select("event_id", "data", "hora", "codigo", "liquido")
+        rows = st.select_strategy(trades(spark, folder), strategy)
+        return ledger_in_range(rows).select("event_id", "data", "hora", "codigo", "liquido")
 
     return query
 
@@ -126,10 +126,10 @@ EXPORT_HEADERS = {
 
 def as_export(df: DataFrame) -> DataFrame:
     """A ledger with the headers of an export, a combined time and an accented column."""
-    return df.select(
-        *[F.col(c).alias(header) for c, header in EXPORT_HEADERS.items()],
-        F.concat_ws(" ", F.col("data").cast("string"), "hora").alias("Datahora"),
-        F.concat(F.lit("Operação de "), "lado").alias("Descrição-Operação"),
+    return df.selectExpr(
+        *[f"{c} AS {header}" for c, header in EXPORT_HEADERS.items()],
+        "CONCAT_WS(' ', CAST(data AS STRING), hora) AS Datahora",
+        "CONCAT('Operação de ', lado) AS `Descrição-Operação`",
     )
 
 
@@ -163,24 +163,24 @@ def queries() -> dict[str, Query]:
         # rows
         "closed_trades": lambda s, f: cleaning.closed_trades(ledger(s, f)),
         "duration_cap": lambda s, f: cleaning.duration_cap(ledger(s, f)),
-        "side_inversion": lambda s, f: ledger(s, f).select(
-            "event_id", cleaning.inverted_side().alias("lado")
+        "side_inversion": lambda s, f: ledger(s, f).selectExpr(
+            "event_id", f"{cleaning.INVERTED_SIDE} AS lado"
         ),
-        "value_per_contract": lambda s, f: ledger(s, f).select(
-            "event_id", cleaning.value_per_contract().alias(st.PER_CONTRACT)
+        "value_per_contract": lambda s, f: ledger(s, f).selectExpr(
+            "event_id", f"{cleaning.VALUE_PER_CONTRACT} AS {st.PER_CONTRACT}"
         ),
-        "value_per_share": lambda s, f: ledger(s, f).select(
-            "event_id", cleaning.value_per_share().alias(st.PER_SHARE)
+        "value_per_share": lambda s, f: ledger(s, f).selectExpr(
+            "event_id", f"{cleaning.VALUE_PER_SHARE} AS {st.PER_SHARE}"
         ),
-        "outcome_sign": lambda s, f: ledger(s, f).select(
-            "event_id", cleaning.outcome_sign().alias("ranking")
+        "outcome_sign": lambda s, f: ledger(s, f).selectExpr(
+            "event_id", f"{cleaning.OUTCOME_SIGN} AS ranking"
         ),
         "cleaned_ledger": trades,
-        "ticker_root": lambda s, f: ledger(s, f).select(
-            "event_id", ticker_root(F.col("codigo")).alias("codigo")
+        "ticker_root": lambda s, f: ledger(s, f).selectExpr(
+            "event_id", f"{ticker_root()} AS codigo"
         ),
-        "ticker_root_futures": lambda s, f: st.select_strategy(trades(s, f), st.X_SALADA).select(
-            "event_id", three_letter_root(F.col("codigo")).alias("codigo")
+        "ticker_root_futures": lambda s, f: st.select_strategy(trades(s, f), st.X_SALADA).selectExpr(
+            "event_id", f"{three_letter_root()} AS codigo"
         ),
         "date_bounds": lambda s, f: selection.date_bounds(trades(s, f)),
         "date_range": lambda s, f: ledger_in_range(trades(s, f), *RANGE),

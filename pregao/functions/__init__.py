@@ -1,4 +1,7 @@
-"""Column expressions shared by the operators. All stay on the JVM; there is no UDF."""
+"""Expressions shared by the operators, as SQL text for ``F.expr`` and ``selectExpr``.
+
+All of it runs inside generated code; there is no UDF.
+"""
 
 from pregao.functions.headers import snake_case, snake_case_all
 from pregao.functions.numbers import fixed_point, from_fixed_point, nan_to_null, round2

@@ -2,34 +2,30 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 MONEY_DECIMALS = 4
 
 
-def round2(col: Column) -> Column:
-    """Two decimals, ties to even on the scaled double (``F.round`` is half-up)."""
-    return F.rint(col * 100) / 100
+def round2(x: str) -> str:
+    """Two decimals, ties to even on the scaled double (``ROUND`` is half-up)."""
+    return f"RINT(({x}) * 100) / 100"
 
 
-def nan_to_null(col: Column) -> Column:
+def nan_to_null(x: str) -> str:
     """Missing numbers are NULL everywhere: Spark orders NaN above every number."""
-    return F.when(~F.isnan(col), col)
+    return f"CASE WHEN NOT ISNAN({x}) THEN {x} END"
 
 
-def fixed_point(col: Column, decimals: int = MONEY_DECIMALS) -> Column:
+def fixed_point(x: str, decimals: int = MONEY_DECIMALS) -> str:
     """The amount as a whole number of 10^-decimals units.
 
     Sums of these are exact and do not depend on task order, and a BIGINT
     buffer sums several times faster than a DECIMAL one. Under ANSI mode a
     value or sum outside BIGINT stops the job instead of wrapping.
     """
-    return F.rint(col * float(10**decimals)).cast("bigint")
+    return f"CAST(RINT(({x}) * 1e{decimals}) AS BIGINT)"
 
 
-def from_fixed_point(total: Column, decimals: int = MONEY_DECIMALS) -> Column:
+def from_fixed_point(total: str, decimals: int = MONEY_DECIMALS) -> str:
     """A summed ``fixed_point`` as a DECIMAL, wide enough to be summed again."""
-    return total.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-decimals))
+    unit = f"0.{'1'.zfill(decimals)}BD" if decimals else "1BD"
+    return f"CAST(COALESCE({total}, 0) AS DECIMAL(20,0)) * {unit}"

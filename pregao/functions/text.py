@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def currency_text(col: Column) -> Column:
+def currency_text(x: str) -> str:
     """``1234.5`` -> ``R$ 1,234.50``."""
-    return F.concat(F.lit("R$ "), F.format_number(col, 2))
+    return f"CONCAT('R$ ', FORMAT_NUMBER({x}, 2))"

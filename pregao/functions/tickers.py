@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Three-letter prefixes of the futures families.
 FUTURES = ("WDO", "WIN", "DOL", "IND")
 CORN = ("CCM",)
 DERIVATIVES = FUTURES + CORN
 
 
-def in_families(codigo: Column, families: tuple[str, ...]) -> Column:
-    """Prefix test as ``startswith`` terms, which the Parquet reader can push down."""
-    return reduce(or_, [codigo.startswith(family) for family in families])
+def three_letter_root(codigo: str = "codigo") -> str:
+    return f"SUBSTRING({codigo}, 1, 3)"
 
 
-def three_letter_root(codigo: Column) -> Column:
-    return F.substring(codigo, 1, 3)
+def in_families(families: tuple[str, ...], codigo: str = "codigo") -> str:
+    """Prefix test that evaluates the ticker once, however many families there are."""
+    listed = ", ".join(f"'{family}'" for family in families)
+    return f"{three_letter_root(codigo)} IN ({listed})"
 
 
-def ticker_root(codigo: Column) -> Column:
+def ticker_root(codigo: str = "codigo") -> str:
     """Fold the contract months of a derivative into one ticker; shares stay as they are."""
-    return F.when(in_families(codigo, DERIVATIVES), three_letter_root(codigo)).otherwise(codigo)
+    derivative = in_families(DERIVATIVES, codigo)
+    return f"CASE WHEN {derivative} THEN {three_letter_root(codigo)} ELSE {codigo} END"

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +31,12 @@ from pregao.operators.strategies import (
     SUM_OF_ROUNDED,
     Strategy,
     fan_out,
-    select_strategy,
     tag_bits,
     with_scorecard,
 )
 
+Strategies = tuple[Strategy, ...]
+
 _SUMS = (
     "ganhos", "perdas", "qtd_melhores", "qtd_piores", "contrato_soma", "contrato_qtd",
     "acao_soma", "acao_qtd", "duracao_soma", "duracao_qtd",
@@ -44,77 +45,70 @@ _MAXIMA = ("melhor", "perda_max")
 _MINIMA = ("perda_min",)
 
 
-def summarise(
-    trades: DataFrame, *keys: Column | str, money_decimals: int = MONEY_DECIMALS
-) -> DataFrame:
-    """All partial measures of cleaned trades, per ``keys``."""
-    liquido = F.col("liquido")
-    win, loss = liquido > 0, liquido < 0
-    amount = fixed_point(liquido, money_decimals)
-
-    def money(total: Column) -> Column:
-        return from_fixed_point(F.coalesce(total, F.lit(0)), money_decimals)
-
-    whole = isinstance(trades.schema["duracao"].dataType, T.IntegralType)
-    duration = F.col("duracao") if whole else fixed_point(F.col("duracao"), money_decimals)
-    duration_sum = F.coalesce(F.sum(duration), F.lit(0))
-    return trades.groupBy(*keys).agg(
-        money(F.sum(F.when(win, amount))).alias("ganhos"),
-        money(F.sum(F.when(loss, amount))).alias("perdas"),
-        F.count(F.when(win, 1)).alias("qtd_melhores"),
-        F.count(F.when(loss, 1)).alias("qtd_piores"),
-        F.max(F.when(win, liquido)).alias("melhor"),
-        F.max(F.when(loss, liquido)).alias("perda_max"),
-        F.min(F.when(loss, liquido)).alias("perda_min"),
-        F.sum("valor_por_contrato").alias("contrato_soma"),
-        F.count("valor_por_contrato").alias("contrato_qtd"),
-        F.sum("valor_por_acao").alias("acao_soma"),
-        F.count("valor_por_acao").alias("acao_qtd"),
-        (
-            duration_sum.cast("decimal(20,0)")
-            if whole
-            else from_fixed_point(duration_sum, money_decimals)
-        ).alias("duracao_soma"),
-        F.count("duracao").alias("duracao_qtd"),
-    )
+def _aggregate(df: DataFrame, keys: Iterable[str], measures: dict[str, str]) -> DataFrame:
+    keyed = [F.expr(key) for key in keys]
+    return df.groupBy(*keyed).agg(*[F.expr(m).alias(name) for name, m in measures.items()])
 
 
-def merge(summary: DataFrame, *keys: Column | str) -> DataFrame:
+def summarise(trades: DataFrame, *keys: str, money_decimals: int = MONEY_DECIMALS) -> DataFrame:
+    """All partial measures of cleaned trades, per ``keys``."""
+    amount = fixed_point("liquido", money_decimals)
+    if isinstance(trades.schema["duracao"].dataType, T.IntegralType):
+        duration = "CAST(COALESCE(SUM(duracao), 0) AS DECIMAL(20,0))"
+    else:
+        duration = from_fixed_point(
+            f"SUM({fixed_point('duracao', money_decimals)})", money_decimals
+        )
+    win, loss = "FILTER (WHERE liquido > 0)", "FILTER (WHERE liquido < 0)"
+    measures = {
+        "ganhos": from_fixed_point(f"SUM({amount}) {win}", money_decimals),
+        "perdas": from_fixed_point(f"SUM({amount}) {loss}", money_decimals),
+        "qtd_melhores": f"COUNT(*) {win}",
+        "qtd_piores": f"COUNT(*) {loss}",
+        "melhor": f"MAX(liquido) {win}",
+        "perda_max": f"MAX(liquido) {loss}",
+        "perda_min": f"MIN(liquido) {loss}",
+        "contrato_soma": "SUM(valor_por_contrato)",
+        "contrato_qtd": "COUNT(valor_por_contrato)",
+        "acao_soma": "SUM(valor_por_acao)",
+        "acao_qtd": "COUNT(valor_por_acao)",
+        "duracao_soma": duration,
+        "duracao_qtd": "COUNT(duracao)",
+    }
+    return _aggregate(trades, keys, measures)
+
+
+def merge(summary: DataFrame, *keys: str) -> DataFrame:
     """Sum a summary up to fewer keys."""
-    return summary.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in _SUMS],
-        *[F.max(c).alias(c) for c in _MAXIMA],
-        *[F.min(c).alias(c) for c in _MINIMA],
-    )
+    rules = [("SUM", _SUMS), ("MAX", _MAXIMA), ("MIN", _MINIMA)]
+    return _aggregate(summary, keys, {c: f"{rule}({c})" for rule, cs in rules for c in cs})
 
 
-def daily_summary(trades: DataFrame, strategies: Iterable[Strategy] = OVERVIEW) -> DataFrame:
+def daily_summary(trades: DataFrame, strategies: Strategies = OVERVIEW) -> DataFrame:
     """A summary per day, ticker and set of strategies.
 
     Kept as a table, it answers every date choice without another pass over
     the trades; trades in no strategy are in it for the daily totals.
     """
-    tagged = trades.withColumn("tags", tag_bits(tuple(strategies)))
-    return summarise(tagged, "data", "codigo", "tags")
+    return summarise(trades, "data", "codigo", f"{tag_bits(strategies)} AS tags")
 
 
 def per_strategy(
-    trades: DataFrame, strategies: tuple[Strategy, ...] = OVERVIEW, root: bool = True
+    trades: DataFrame, strategies: Strategies = OVERVIEW, root: bool = True
 ) -> DataFrame:
     """The summary per strategy and ticker, for all strategies in one pass."""
-    tagged = trades.withColumn("tags", tag_bits(strategies))
-    return per_strategy_of_summary(summarise(tagged, "tags", "codigo"), strategies, root)
+    summary = summarise(trades, "codigo", f"{tag_bits(strategies)} AS tags")
+    return per_strategy_of_summary(summary, strategies, root)
 
 
 def per_strategy_of_summary(
-    summary: DataFrame, strategies: tuple[Strategy, ...] = OVERVIEW, root: bool = True
+    summary: DataFrame, strategies: Strategies = OVERVIEW, root: bool = True
 ) -> DataFrame:
-    if root:
-        codigo = ticker_root(F.col("codigo"))
-    else:
-        rooted = F.col("ordem").isin([s.ordem for s in strategies if s.always_rooted])
-        codigo = F.when(rooted, three_letter_root(F.col("codigo"))).otherwise(F.col("codigo"))
-    return merge(fan_out(summary, strategies), "ordem", codigo.alias("codigo"))
+    ticker = ticker_root()
+    if not root:
+        rooted = _within(s for s in strategies if s.always_rooted)
+        ticker = f"IF({rooted}, {three_letter_root()}, codigo)"
+    return merge(fan_out(summary, strategies), "ordem", f"{ticker} AS codigo")
 
 
 def of_strategy(trades: DataFrame, strategy: Strategy, root: bool = True) -> DataFrame:
@@ -123,185 +117,166 @@ def of_strategy(trades: DataFrame, strategy: Strategy, root: bool = True) -> Dat
     Tickers are rooted in the grouping key, after the filter, so the filter on
     the stored ticker and time reaches the scan.
     """
-    chosen = select_strategy(trades, strategy)
-    return summarise(
-        chosen, F.lit(strategy.ordem).alias("ordem"), _ticker(strategy, root).alias("codigo")
-    )
+    chosen = trades.where(strategy.matches())
+    ticker = f"{_ticker(strategy, root)} AS codigo"
+    return summarise(chosen, ticker).selectExpr(f"{strategy.ordem} AS ordem", "*")
 
 
-def _ticker(strategy: Strategy, root: bool) -> Column:
+def _ticker(strategy: Strategy, root: bool) -> str:
     if root:
-        return ticker_root(F.col("codigo"))
-    return three_letter_root(F.col("codigo")) if strategy.always_rooted else F.col("codigo")
+        return ticker_root()
+    return three_letter_root() if strategy.always_rooted else "codigo"
 
 
-# --- tables per strategy and ticker -------------------------------------------------------
+def _within(strategies: Iterable[Strategy]) -> str:
+    """Whether the strategy of a row is one of these."""
+    listed = ", ".join(str(s.ordem) for s in strategies)
+    return f"ordem IN ({listed})" if listed else "FALSE"
 
 
-def total_column() -> Column:
-    """Net result; wins and losses are all there is to it."""
-    return (F.col("ganhos") + F.col("perdas")).cast("double")
+# --- tables per strategy and ticker -------------------------------------------------------
 
+# Wins and losses are all there is to a net result.
+_TOTAL = "CAST(ganhos + perdas AS DOUBLE)"
+_UNITS = {
+    PER_CONTRACT: "TRY_DIVIDE(contrato_soma, contrato_qtd)",
+    # in percent
+    PER_SHARE: "TRY_DIVIDE(acao_soma, acao_qtd) * 100",
+}
+# Winning share of the decided trades, as a fraction.
+_HIT_RATE = (
+    round2("TRY_DIVIDE(qtd_melhores, qtd_melhores + qtd_piores)") + " AS pct_vencedoras"
+)
 
-def _mean(total: str, count: str) -> Column:
-    return F.try_divide(F.col(total).cast("double"), F.col(count))
 
+def _mean(total: str, count: str) -> str:
+    return f"TRY_DIVIDE(CAST({total} AS DOUBLE), {count})"
 
-def _shown(strategies: Iterable[Strategy], name: str, value: Column) -> Column:
+
+def _shown(strategies: Strategies, name: str, value: str) -> str:
     """``value`` with two decimals for the strategies that show it so."""
-    rounded = [s.ordem for s in strategies if name in s.rounded]
+    rounded = [s for s in strategies if name in s.rounded]
     if not rounded:
-        return value.alias(name)
+        return f"{value} AS {name}"
     if len(rounded) == len(strategies):
-        return round2(value).alias(name)
-    return F.when(F.col("ordem").isin(rounded), round2(value)).otherwise(value).alias(name)
-
-
-def _keyed(summary: DataFrame) -> DataFrame:
-    return summary.where(F.col("codigo").isNotNull())
+        return f"{round2(value)} AS {name}"
+    return f"IF({_within(rounded)}, {round2(value)}, {value}) AS {name}"
 
 
-def total_by_ticker(summary: DataFrame, strategies: tuple[Strategy, ...]) -> DataFrame:
-    return _keyed(summary).select(
-        "ordem", "codigo", _shown(strategies, "liquido", total_column())
-    )
+def _total_column(strategies: Strategies) -> str:
+    return _shown(strategies, "liquido", _TOTAL)
 
 
-def winners(summary: DataFrame, strategies: tuple[Strategy, ...]) -> DataFrame:
-    """Mean, count and best of the winning trades; tickers without one are absent."""
-    return (
-        _keyed(summary)
-        .where(F.col("qtd_melhores") > 0)
-        .select("ordem", "codigo", *_win_columns(strategies))
-    )
+def _win_columns(strategies: Strategies) -> list[str]:
+    return [
+        _shown(strategies, "media_melhores", _mean("ganhos", "qtd_melhores")),
+        "qtd_melhores",
+        _shown(strategies, "melhor", "melhor"),
+    ]
 
 
-def losers(summary: DataFrame, strategies: tuple[Strategy, ...]) -> DataFrame:
-    """Mean, count and worst of the losing trades; tickers without one are absent."""
-    return (
-        _keyed(summary)
-        .where(F.col("qtd_piores") > 0)
-        .select("ordem", "codigo", *_loss_columns(strategies))
-    )
+def _loss_columns(strategies: Strategies) -> list[str]:
+    smallest = _within(s for s in strategies if s.worst == "max")
+    return [
+        _shown(strategies, "media_piores", _mean("perdas", "qtd_piores")),
+        "qtd_piores",
+        _shown(strategies, "pior", f"IF({smallest}, perda_max, perda_min)"),
+    ]
 
 
-def mean_value_per_contract(summary: DataFrame) -> DataFrame:
-    return _keyed(summary).select("ordem", "codigo", _unit_column(PER_CONTRACT))
+def _duration_column(strategies: Strategies) -> str:
+    return _shown(strategies, "duracao", _mean("duracao_soma", "duracao_qtd"))
 
 
-def mean_value_per_share(summary: DataFrame) -> DataFrame:
-    """Mean return per share traded, in percent."""
-    return _keyed(summary).select("ordem", "codigo", _unit_column(PER_SHARE))
+def _part(summary: DataFrame, columns: Iterable[str], test: str = "TRUE") -> DataFrame:
+    kept = summary.where(f"codigo IS NOT NULL AND {test}")
+    return kept.selectExpr("ordem", "codigo", *columns)
 
 
-def mean_duration(summary: DataFrame, strategies: tuple[Strategy, ...]) -> DataFrame:
-    return _keyed(summary).select("ordem", "codigo", _duration_column(strategies))
+def total_by_ticker(summary: DataFrame, strategies: Strategies) -> DataFrame:
+    return _part(summary, [_total_column(strategies)])
 
 
-def _win_columns(strategies) -> list[Column]:
-    return [
-        _shown(strategies, "media_melhores", _mean("ganhos", "qtd_melhores")),
-        F.col("qtd_melhores"),
-        _shown(strategies, "melhor", F.col("melhor")),
-    ]
+def winners(summary: DataFrame, strategies: Strategies) -> DataFrame:
+    """Mean, count and best of the winning trades; tickers without one are absent."""
+    return _part(summary, _win_columns(strategies), "qtd_melhores > 0")
 
 
-def _loss_columns(strategies) -> list[Column]:
-    smallest = F.col("ordem").isin([s.ordem for s in strategies if s.worst == "max"])
-    worst = F.when(smallest, F.col("perda_max")).otherwise(F.col("perda_min"))
-    return [
-        _shown(strategies, "media_piores", _mean("perdas", "qtd_piores")),
-        F.col("qtd_piores"),
-        _shown(strategies, "pior", worst),
-    ]
+def losers(summary: DataFrame, strategies: Strategies) -> DataFrame:
+    """Mean, count and worst of the losing trades; tickers without one are absent."""
+    return _part(summary, _loss_columns(strategies), "qtd_piores > 0")
 
 
-def _unit_column(unit: str) -> Column:
-    if unit == PER_CONTRACT:
-        return _mean("contrato_soma", "contrato_qtd").alias(unit)
-    return (_mean("acao_soma", "acao_qtd") * 100).alias(unit)
+def mean_value_per_contract(summary: DataFrame) -> DataFrame:
+    return _part(summary, [f"{_UNITS[PER_CONTRACT]} AS {PER_CONTRACT}"])
 
 
-def _duration_column(strategies) -> Column:
-    return _shown(strategies, "duracao", _mean("duracao_soma", "duracao_qtd"))
+def mean_value_per_share(summary: DataFrame) -> DataFrame:
+    """Mean return per share traded, in percent."""
+    return _part(summary, [f"{_UNITS[PER_SHARE]} AS {PER_SHARE}"])
 
 
-def hit_rate() -> Column:
-    """Winning share of the decided trades, as a fraction."""
-    decided = F.col("qtd_melhores") + F.col("qtd_piores")
-    return round2(F.try_divide(F.col("qtd_melhores"), decided)).alias("pct_vencedoras")
+def mean_duration(summary: DataFrame, strategies: Strategies) -> DataFrame:
+    return _part(summary, [_duration_column(strategies)])
 
 
 # --- scorecards ---------------------------------------------------------------------------
 
 
-def scorecard_of_summary(
-    summary: DataFrame, strategies: tuple[Strategy, ...], require_both_sides: bool = True
+def scorecards_of_summary(
+    summary: DataFrame, strategies: Strategies, require_both_sides: bool = True
 ) -> DataFrame:
-    """Scorecard columns of every (strategy, ticker) in the summary.
+    """Scorecards of every strategy in the summary, in their display order.
 
     A ticker needs a win and a loss to be listed, unless told otherwise. With
     strategies of both kinds the per-unit column that does not apply is NULL.
     """
     cards = with_scorecard(strategies)
-    listed = _keyed(summary)
-    if len(cards) < len(strategies):
-        listed = listed.where(F.col("ordem").isin([s.ordem for s in cards]))
+    tests = [_within(cards)]
     if require_both_sides:
-        listed = listed.where((F.col("qtd_melhores") > 0) & (F.col("qtd_piores") > 0))
-    units = [u for u in (PER_CONTRACT, PER_SHARE) if any(s.unit == u for s in cards)]
-    return listed.select(
-        "ordem",
-        "codigo",
-        _shown(cards, "liquido", total_column()),
-        *_win_columns(cards),
-        *_loss_columns(cards),
-        *[_applicable(cards, unit) for unit in units],
-        _duration_column(cards),
-        hit_rate(),
-        total_column().alias("_total"),
+        tests.append("qtd_melhores > 0 AND qtd_piores > 0")
+    listed = _part(
+        summary,
+        [
+            _total_column(cards),
+            *_win_columns(cards),
+            *_loss_columns(cards),
+            *_unit_columns(cards),
+            _duration_column(cards),
+            _HIT_RATE,
+            f"IF({_within(s for s in cards if s.by_total)}, -{_TOTAL}, NULL) AS _place",
+        ],
+        " AND ".join(tests),
     )
+    return listed.orderBy("ordem", "_place", "codigo").drop("_place")
 
 
-def _applicable(cards: tuple[Strategy, ...], unit: str) -> Column:
-    value = _unit_column(unit)
-    if all(s.unit == unit for s in cards):
-        return value
-    applies = F.col("ordem").isin([s.ordem for s in cards if s.unit == unit])
-    return F.when(applies, value).alias(unit)
+def _unit_columns(cards: Strategies) -> list[str]:
+    columns = []
+    for unit, value in _UNITS.items():
+        with_unit = [s for s in cards if s.unit == unit]
+        if with_unit:
+            applies = len(with_unit) == len(cards)
+            shown = value if applies else f"IF({_within(with_unit)}, {value}, NULL)"
+            columns.append(f"{shown} AS {unit}")
+    return columns
 
 
 def scorecard(
     trades: DataFrame, strategy: Strategy, root: bool = True, require_both_sides: bool = True
 ) -> DataFrame:
-    """Scorecard of one strategy, in its display order."""
+    """Scorecard of one strategy."""
     summary = of_strategy(trades, strategy, root)
-    card = scorecard_of_summary(summary, (strategy,), require_both_sides)
-    return _in_display_order(card, strategy).drop("ordem", "_total")
-
-
-def _in_display_order(card: DataFrame, strategy: Strategy) -> DataFrame:
-    if strategy.by_total:
-        return card.orderBy(F.desc("_total"), "codigo")
-    return card.orderBy("codigo")
+    return scorecards_of_summary(summary, (strategy,), require_both_sides).drop("ordem")
 
 
 def scorecards(
-    trades: DataFrame, strategies: tuple[Strategy, ...] = OVERVIEW, root: bool = True
+    trades: DataFrame, strategies: Strategies = OVERVIEW, root: bool = True
 ) -> DataFrame:
     """The scorecards of all strategies from one pass over the trades."""
     return scorecards_of_summary(per_strategy(trades, strategies, root), strategies)
 
 
-def scorecards_of_summary(summary: DataFrame, strategies: tuple[Strategy, ...]) -> DataFrame:
-    by_total = F.col("ordem").isin([s.ordem for s in strategies if s.by_total])
-    return (
-        scorecard_of_summary(summary, strategies)
-        .orderBy("ordem", F.when(by_total, -F.col("_total")), "codigo")
-        .drop("_total")
-    )
-
-
 def scorecard_join(
     total: DataFrame, wins: DataFrame, losses: DataFrame, per_unit: DataFrame, duration: DataFrame
 ) -> DataFrame:
@@ -310,11 +285,10 @@ def scorecard_join(
     ``scorecard`` computes the same in one aggregate and is the way to go on a
     large ledger; this serves tables that already exist.
     """
-    on = ["ordem", "codigo"]
     joined = total
     for part in (wins, losses, per_unit, duration):
-        joined = joined.join(part, on, "inner")
-    return joined.withColumn("pct_vencedoras", hit_rate())
+        joined = joined.join(part, ["ordem", "codigo"], "inner")
+    return joined.selectExpr("*", _HIT_RATE)
 
 
 # --- totals -------------------------------------------------------------------------------
@@ -322,18 +296,14 @@ def scorecard_join(
 
 def total_by_trader(trades: DataFrame, strategy: Strategy, root: bool = True) -> DataFrame:
     """Net result per trader and ticker within a strategy."""
-    chosen = select_strategy(trades, strategy)
-    keys = (F.col("nome"), _ticker(strategy, root).alias("codigo"))
-    return (
-        summarise(chosen, *keys)
-        .where(F.col("nome").isNotNull() & F.col("codigo").isNotNull())
-        .select("nome", "codigo", total_column().alias("liquido"))
-    )
+    chosen = trades.where(strategy.matches()).where("nome IS NOT NULL AND codigo IS NOT NULL")
+    summary = summarise(chosen, "nome", f"{_ticker(strategy, root)} AS codigo")
+    return summary.selectExpr("nome", "codigo", f"{_TOTAL} AS liquido")
 
 
 def strategy_totals(
     trades: DataFrame,
-    strategies: tuple[Strategy, ...] = OVERVIEW,
+    strategies: Strategies = OVERVIEW,
     root: bool = True,
     all_rounded: bool = False,
 ) -> DataFrame:
@@ -344,24 +314,22 @@ def strategy_totals(
 
 
 def strategy_totals_of_summary(
-    summary: DataFrame, strategies: tuple[Strategy, ...], all_rounded: bool = False
+    summary: DataFrame, strategies: Strategies, all_rounded: bool = False
 ) -> DataFrame:
     """A global aggregate with one sum per strategy, turned into rows.
 
     It has a row even for empty input, so no strategy is lost and no join with
     a list of strategies is needed.
     """
-    total = F.col("ganhos") + F.col("perdas")
-    per_ticker_rounded = round2(total.cast("double")).cast("decimal(28,2)")
-    sums = []
+    per_ticker = f"CAST({round2(_TOTAL)} AS DECIMAL(28,2))"
+    sums = {}
     for s in strategies:
-        amount = per_ticker_rounded if s.total == SUM_OF_ROUNDED else total
-        own = F.sum(F.when(F.col("ordem") == s.ordem, amount)).cast("double")
-        own = F.coalesce(own, F.lit(0.0))
-        if all_rounded or s.total == ROUNDED:
-            own = round2(own)
-        sums.append(F.struct(F.lit(s.ordem), F.lit(s.label), own))
-    rows = summary.agg(F.array(*sums).alias("rows"))
-    return rows.select(
-        F.inline("rows").alias("ordem", "estrategia", "resultado")
-    ).orderBy("ordem")
+        amount = per_ticker if s.total == SUM_OF_ROUNDED else "ganhos + perdas"
+        own = f"COALESCE(CAST(SUM({amount}) FILTER (WHERE {_within([s])}) AS DOUBLE), 0D)"
+        sums[s] = round2(own) if all_rounded or s.total == ROUNDED else own
+    totals = summary.agg(*[F.expr(own).alias(f"s{s.ordem}") for s, own in sums.items()])
+    rows = ", ".join(
+        f"STRUCT({s.ordem} AS ordem, '{s.label}' AS estrategia, s{s.ordem} AS resultado)"
+        for s in strategies
+    )
+    return totals.selectExpr(f"INLINE(ARRAY({rows}))").orderBy("ordem")

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _per_column(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
-    """One aggregate over all columns in a single pass, turned into a row per measure."""
-    counted = df.agg(*[value.alias(f"c{i}") for i, value in enumerate(measures.values())])
-    rows = F.array(
-        *[
-            F.struct(F.lit(name).alias("coluna"), F.col(f"c{i}").alias("valor"))
-            for i, name in enumerate(measures)
-        ]
-    )
-    return counted.select(F.inline(rows))
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _per_column(df: DataFrame, counts: dict[str, str], *labels: str) -> DataFrame:
+    """One aggregate over all columns in a single pass, turned into a row per column.
+
+    ``counts`` maps the fixed fields of a row to the count that follows them.
+    """
+    counted = df.agg(*[F.expr(c).alias(f"c{i}") for i, c in enumerate(counts.values())])
+    rows = ", ".join(f"{fields}, c{i}" for i, fields in enumerate(counts))
+    return counted.selectExpr(f"STACK({len(counts)}, {rows})").toDF(*labels)
 
 
 def null_profile(df: DataFrame) -> DataFrame:
     """Missing values per column."""
-    counts = {c: F.count_if(F.col(c).isNull()) for c in df.columns}
-    return _per_column(df, counts).withColumnRenamed("valor", "nulos")
+    counts = {_text(c): f"COUNT_IF({_name(c)} IS NULL)" for c in df.columns}
+    return _per_column(df, counts, "coluna", "nulos")
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -33,12 +39,8 @@ def shape(df: DataFrame) -> DataFrame:
 
 def column_types(df: DataFrame) -> DataFrame:
     """Type and number of present values per column."""
-    kinds = dict(df.dtypes)
-    present = _per_column(df, {c: F.count(F.col(c)) for c in df.columns})
-    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    return present.select(
-        "coluna", kind[F.col("coluna")].alias("tipo"), F.col("valor").alias("presentes")
-    )
+    counts = {f"{_text(c)}, {_text(kind)}": f"COUNT({_name(c)})" for c, kind in df.dtypes}
+    return _per_column(df, counts, "coluna", "tipo", "presentes")
 
 
 def head(df: DataFrame, n: int = 5, order_by: str | None = None) -> DataFrame:

@@ -23,25 +23,27 @@ def date_range(df: DataFrame, start: DateBound = None, end: DateBound = None) ->
     ``None`` leaves a side open. A blank text is a bound nobody entered, which
     no date satisfies. Rows without a date are in no range.
     """
-    chosen = df.where(F.col("data").isNotNull())
+    tests = ["data IS NOT NULL"]
     if start is not None:
-        chosen = chosen.where(F.col("data") >= _bound(start))
+        tests.append(f"data >= {_bound(start)}")
     if end is not None:
-        chosen = chosen.where(F.col("data") <= _bound(end))
-    return chosen
+        tests.append(f"data <= {_bound(end)}")
+    return df.where(" AND ".join(tests))
 
 
-def _bound(value: dt.date | str):
+def _bound(value: dt.date | str) -> str:
     if isinstance(value, str):
-        value = dt.date.fromisoformat(value.strip()) if value.strip() else None
-    return F.lit(value).cast("date")
+        if not value.strip():
+            return "CAST(NULL AS DATE)"
+        value = dt.date.fromisoformat(value.strip())
+    return f"DATE'{value:%Y-%m-%d}'"
 
 
 def month_filter(df: DataFrame, month: int, year: int | None = None) -> DataFrame:
     """Trades of a calendar month, of any year unless one is given."""
-    chosen = df.where(F.month("data") == month)
-    return chosen if year is None else chosen.where(F.year("data") == year)
+    chosen = df.where(f"MONTH(data) = {month:d}")
+    return chosen if year is None else chosen.where(f"YEAR(data) = {year:d}")
 
 
 def root_tickers(df: DataFrame) -> DataFrame:
-    return df.withColumn("codigo", ticker_root(F.col("codigo")))
+    return df.withColumn("codigo", F.expr(ticker_root()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pregao.functions import fixed_point, from_fixed_point
@@ -11,18 +11,16 @@ from pregao.functions.numbers import MONEY_DECIMALS
 
 def daily_totals(trades: DataFrame, money_decimals: int = MONEY_DECIMALS) -> DataFrame:
     """Net result per day over all trades, in a strategy or not."""
-    total = F.sum(fixed_point(F.col("liquido"), money_decimals))
-    return _per_day(
-        trades, from_fixed_point(F.coalesce(total, F.lit(0)), money_decimals)
-    )
+    total = f"SUM({fixed_point('liquido', money_decimals)})"
+    return _per_day(trades, from_fixed_point(total, money_decimals))
 
 
 def daily_totals_of_summary(summary: DataFrame) -> DataFrame:
-    return _per_day(summary, F.sum(F.col("ganhos") + F.col("perdas")))
+    return _per_day(summary, "SUM(ganhos + perdas)")
 
 
-def _per_day(df: DataFrame, total: Column) -> DataFrame:
-    return df.where(F.col("data").isNotNull()).groupBy("data").agg(total.alias("liquido"))
+def _per_day(df: DataFrame, total: str) -> DataFrame:
+    return df.where("data IS NOT NULL").groupBy("data").agg(F.expr(total).alias("liquido"))
 
 
 def running_total(days: DataFrame) -> DataFrame:
@@ -31,11 +29,11 @@ def running_total(days: DataFrame) -> DataFrame:
     The window has no partition and so runs in one task, which is bounded: it
     sees one row per calendar day, whatever the number of trades.
     """
-    so_far = Window.orderBy("data").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return days.select(
+    so_far = "ORDER BY data ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    return days.selectExpr(
         "data",
-        F.col("liquido").cast("double").alias("liquido"),
-        F.sum("liquido").over(so_far).cast("double").alias("acumulado"),
+        "CAST(liquido AS DOUBLE) AS liquido",
+        f"CAST(SUM(liquido) OVER ({so_far}) AS DOUBLE) AS acumulado",
     ).orderBy("data")
 
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from pregao.functions import CORN, DERIVATIVES, FUTURES, in_families
 
@@ -37,26 +36,20 @@ class Strategy:
     always_rooted: bool = False
     """Contract months are folded even where the report keeps them apart."""
 
-    def matches(self) -> Column:
+    def matches(self) -> str:
         """Row predicate. ``hora`` is zero-padded text, so text order is time order."""
-        hora, codigo = F.col("hora"), F.col("codigo")
-        tests = []
-        if self.since:
-            tests.append(hora >= self.since)
-        if self.after:
-            tests.append(hora > self.after)
-        if self.until:
-            tests.append(hora <= self.until)
-        if self.before:
-            tests.append(hora < self.before)
+        tests = [
+            f"hora {sign} '{time}'"
+            for sign, time in (
+                (">=", self.since), (">", self.after), ("<=", self.until), ("<", self.before)
+            )
+            if time
+        ]
         if self.only:
-            tests.append(in_families(codigo, self.only))
+            tests.append(in_families(self.only))
         if self.without:
-            tests.append(~in_families(codigo, self.without))
-        predicate = tests[0]
-        for test in tests[1:]:
-            predicate = predicate & test
-        return predicate
+            tests.append(f"NOT {in_families(self.without)}")
+        return " AND ".join(tests)
 
 
 _SHARE_CARD = {
@@ -114,30 +107,23 @@ def select_strategy(df: DataFrame, strategy: Strategy) -> DataFrame:
     return df.where(strategy.matches())
 
 
-def tag_bits(strategies: tuple[Strategy, ...]) -> Column:
+def tag_bits(strategies: tuple[Strategy, ...]) -> str:
     """All strategies of a trade as one integer, bit ``ordem`` per strategy.
 
     Strategies overlap, and a bit set lets a trade belong to several without
     being copied: rows are aggregated first and fanned out afterwards.
     """
-    bits = F.lit(0)
-    for s in strategies:
-        bits = bits + F.when(s.matches(), 1 << s.ordem).otherwise(0)
-    return bits
+    return " + ".join(f"IF({s.matches()}, {1 << s.ordem}, 0)" for s in strategies)
 
 
 def fan_out(df: DataFrame, strategies: tuple[Strategy, ...], bits: str = "tags") -> DataFrame:
     """One row per strategy in the bit set, as column ``ordem``."""
-    slots = [
-        F.when(F.col(bits).bitwiseAND(1 << s.ordem) != 0, s.ordem) for s in strategies
-    ]
-    return (
-        df.withColumn("ordem", F.explode(F.array(*slots)))
-        .where(F.col("ordem").isNotNull())
-        .drop(bits)
-    )
+    slots = ", ".join(f"IF({bits} & {1 << s.ordem} != 0, {s.ordem}, NULL)" for s in strategies)
+    others = [c for c in df.columns if c != bits]
+    fanned = df.selectExpr(*others, f"EXPLODE(ARRAY({slots})) AS ordem")
+    return fanned.where("ordem IS NOT NULL")
 
 
 def strategy_tags(df: DataFrame, strategies: tuple[Strategy, ...] = OVERVIEW) -> DataFrame:
     """One row per trade and strategy it belongs to."""
-    return fan_out(df.withColumn("tags", tag_bits(strategies)), strategies)
+    return fan_out(df.selectExpr("*", f"{tag_bits(strategies)} AS tags"), strategies)

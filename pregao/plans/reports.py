@@ -5,7 +5,6 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pregao.functions import currency_text
 from pregao.operators import measures as m
@@ -73,7 +72,7 @@ def overview_of_summary(
 
 def headline(totals: DataFrame) -> DataFrame:
     """Strategy totals as display text."""
-    return totals.select("estrategia", currency_text(F.col("resultado")).alias("resultado"))
+    return totals.selectExpr("estrategia", f"{currency_text('resultado')} AS resultado")
 
 
 def strategy_page(

@@ -1,48 +1,47 @@
 """A trade ledger derived from a table of click-stream events.
 
-The sample data holds no trade export. This view maps every event to one trade
-with integer arithmetic only, so the same text gives the same rows on any SQL
-engine.
+The sample data holds no trade export. Each event becomes one trade, with
+integer arithmetic only, so any SQL engine gives the same rows. Lookups replace
+long CASE chains: Catalyst copies a column's expression into every filter that
+is pushed below it, and the copies have to stay small enough to be compiled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-LEDGER_SQL = """
-SELECT event_id,
-  CAST(ts AS DATE) + CAST(MOD(event_id, 4) * 30 + CASE WHEN MOD(event_id, 7) = 0 THEN 366 ELSE 0 END AS INT) AS data,
-  nome, codigo, lado, quantidade, preco, bruto, liquido, duracao,
-  CONCAT(LPAD(CAST(CAST(FLOOR(sod / 3600) AS INT) AS STRING), 2, '0'), ':',
-         LPAD(CAST(CAST(FLOOR(MOD(sod, 3600) / 60) AS INT) AS STRING), 2, '0'), ':',
-         LPAD(CAST(MOD(sod, 60) AS STRING), 2, '0')) AS hora
+_TWO_DIGITS = "SUBSTRING(CAST(100 + {} AS STRING), 2)"
+
+# The tickers dealt out in turn, and the seconds on the edges of the windows.
+TICKERS = "WINJ23 WINM23 WDOJ23 WDOK23 DOLK23 INDJ23 CCMK23 CCMU23 PETR4 VALE3 ITUB4 BBDC4 MGLU3 ABEV3 B3SA3 WEGE3"
+EDGE_SECONDS = "61200, 32700, 61201, 36000, 43200, 54000, 32400, 32701"
+
+LEDGER_SQL = f"""
+SELECT
+  event_id,
+  DATE_ADD(CAST(ts AS DATE),
+           CAST(event_id % 4 * 30 + IF(event_id % 7 = 0, 366, 0) AS INT)) AS data,
+  CONCAT('OP', {_TWO_DIGITS.format("user_id % 12")}) AS nome,
+  GET(SPLIT('{TICKERS}', ' '), CAST(event_id % 16 AS INT)) AS codigo,
+  IF(event_type IN ('click', 'purchase'), 'Compra', 'Venda') AS lado,
+  (1 + user_id % 5) * IF(event_id % 16 < 8, 1, 100) AS quantidade,
+  10 + event_id * 37 % 9000 / 100D AS preco,
+  IF(event_id % 13 = 0, 0D, value) AS bruto,
+  CASE WHEN event_id % 101 = 5 THEN NULL
+       WHEN event_id % 11 = 0 THEN 0D
+       WHEN event_id % 16 = 15 OR (event_id * 7919 + user_id * 31) % 100 < 55 THEN value
+       ELSE -value END AS liquido,
+  IF(event_id % 103 = 0, 32000, (event_id * 31 + user_id * 17) % 33000) AS duracao,
+  CONCAT_WS(':', {_TWO_DIGITS.format("seconds div 3600")},
+                 {_TWO_DIGITS.format("seconds div 60 % 60")},
+                 {_TWO_DIGITS.format("seconds % 60")}) AS hora
 FROM (
-  SELECT event_id, ts,
-    CONCAT('OP', LPAD(CAST(MOD(user_id, 12) AS STRING), 2, '0')) AS nome,
-    CASE MOD(event_id, 16)
-      WHEN 0 THEN 'WINJ23' WHEN 1 THEN 'WINM23' WHEN 2 THEN 'WDOJ23' WHEN 3 THEN 'WDOK23'
-      WHEN 4 THEN 'DOLK23' WHEN 5 THEN 'INDJ23' WHEN 6 THEN 'CCMK23' WHEN 7 THEN 'CCMU23'
-      WHEN 8 THEN 'PETR4' WHEN 9 THEN 'VALE3' WHEN 10 THEN 'ITUB4' WHEN 11 THEN 'BBDC4'
-      WHEN 12 THEN 'MGLU3' WHEN 13 THEN 'ABEV3' WHEN 14 THEN 'B3SA3' ELSE 'WEGE3' END AS codigo,
-    CASE WHEN event_type IN ('click', 'purchase') THEN 'Compra' ELSE 'Venda' END AS lado,
-    CAST(CASE WHEN MOD(event_id, 16) < 8 THEN 1 + MOD(user_id, 5)
-              ELSE 100 * (1 + MOD(user_id, 5)) END AS BIGINT) AS quantidade,
-    CAST(10 + MOD(event_id * 37, 9000) / CAST(100 AS DOUBLE) AS DOUBLE) AS preco,
-    CAST(CASE WHEN MOD(event_id, 13) = 0 THEN 0 ELSE value END AS DOUBLE) AS bruto,
-    CAST(CASE WHEN MOD(event_id, 101) = 5 THEN NULL
-              WHEN MOD(event_id, 11) = 0 THEN 0
-              WHEN MOD(event_id, 16) = 15 THEN value
-              WHEN MOD(event_id * 7919 + user_id * 31, 100) < 55 THEN value
-              ELSE -value END AS DOUBLE) AS liquido,
-    CAST(CASE WHEN MOD(event_id, 103) = 0 THEN 32000
-              ELSE MOD(event_id * 31 + user_id * 17, 33000) END AS BIGINT) AS duracao,
-    CASE WHEN MOD(event_id, 97) = 0 THEN
-           CASE MOD(event_id, 8) WHEN 0 THEN 61200 WHEN 1 THEN 32700 WHEN 2 THEN 61201
-             WHEN 3 THEN 36000 WHEN 4 THEN 43200 WHEN 5 THEN 54000 WHEN 6 THEN 32400 ELSE 32701 END
-         WHEN MOD(event_id, 5) = 0 THEN 32400 + MOD(event_id, 301)
-         ELSE 32400 + MOD(event_id * 7919, 34200) END AS sod
-  FROM {events}
-) e
+  SELECT *,
+    CASE WHEN event_id % 97 = 0 THEN GET(ARRAY({EDGE_SECONDS}), CAST(event_id % 8 AS INT))
+         WHEN event_id % 5 = 0 THEN 32400 + event_id % 301
+         ELSE 32400 + event_id * 7919 % 34200 END AS seconds
+  FROM {{events}}
+)
 """
 
 
