@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-_TWO_DIGITS = "SUBSTRING(CAST(100 + {} AS STRING), 2)"
-
 # The tickers dealt out in turn, and the seconds on the edges of the windows.
 TICKERS = "WINJ23 WINM23 WDOJ23 WDOK23 DOLK23 INDJ23 CCMK23 CCMU23 PETR4 VALE3 ITUB4 BBDC4 MGLU3 ABEV3 B3SA3 WEGE3"
 EDGE_SECONDS = "61200, 32700, 61201, 36000, 43200, 54000, 32400, 32701"
@@ -21,7 +19,7 @@ SELECT
   event_id,
   DATE_ADD(CAST(ts AS DATE),
            CAST(event_id % 4 * 30 + IF(event_id % 7 = 0, 366, 0) AS INT)) AS data,
-  CONCAT('OP', {_TWO_DIGITS.format("user_id % 12")}) AS nome,
+  CONCAT('OP', LPAD(user_id % 12, 2, '0')) AS nome,
   GET(SPLIT('{TICKERS}', ' '), CAST(event_id % 16 AS INT)) AS codigo,
   IF(event_type IN ('click', 'purchase'), 'Compra', 'Venda') AS lado,
   (1 + user_id % 5) * IF(event_id % 16 < 8, 1, 100) AS quantidade,
@@ -32,9 +30,7 @@ SELECT
        WHEN event_id % 16 = 15 OR (event_id * 7919 + user_id * 31) % 100 < 55 THEN value
        ELSE -value END AS liquido,
   IF(event_id % 103 = 0, 32000, (event_id * 31 + user_id * 17) % 33000) AS duracao,
-  CONCAT_WS(':', {_TWO_DIGITS.format("seconds div 3600")},
-                 {_TWO_DIGITS.format("seconds div 60 % 60")},
-                 {_TWO_DIGITS.format("seconds % 60")}) AS hora
+  SUBSTRING(CAST(TIMESTAMP_NTZ'2000-01-01' + seconds * INTERVAL '1' SECOND AS STRING), 12, 8) AS hora
 FROM (
   SELECT *,
     CASE WHEN event_id % 97 = 0 THEN GET(ARRAY({EDGE_SECONDS}), CAST(event_id % 8 AS INT))

@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_ledger(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
+def write_ledger(
+    df: DataFrame, path: str, *, mode: str = "errorifexists", partitions: int | None = None
+) -> None:
     """Store by ``data``, so that date filters prune folders.
 
     Rebalancing gives each date few, full files; adaptive execution splits a
     date that outgrows the advisory size over several tasks, so a day holding a
     third of all rows does not land on one. Rows are ordered by time of day
     inside a file, which makes the row-group statistics of ``hora`` selective.
+    ``partitions`` of about the number of dates, or more, keeps small dates from
+    sharing a task with a split one; the session's shuffle partitions otherwise.
     """
+    layout = (F.col("data"),) if partitions is None else (partitions, F.col("data"))
     (
-        df.hint("rebalance", F.col("data"))
+        df.hint("rebalance", *layout)
         .sortWithinPartitions("data", "hora")
         .write.mode(mode)
         .partitionBy("data")

@@ -1,0 +1,67 @@
+from itertools import product
+
+from ledgers import as_dicts, ledger
+
+from pregao.operators.cleaning import clean, closed_trades, duration_cap, missing_as_null
+
+
+def test_zero_results_are_opening_legs(spark):
+    pairs = list(product([0.0, 5.0, None], repeat=2))
+    df = ledger(spark, *[{"liquido": n, "bruto": g} for n, g in pairs])
+    kept = {(r["liquido"], r["bruto"]) for r in as_dicts(closed_trades(df))}
+    assert kept == {(n, g) for n, g in pairs if n != 0.0 and g != 0.0}
+
+
+def test_duration_cap(spark):
+    df = ledger(spark, *[{"duracao": d} for d in (0, 31999, 32000, 40000, None)])
+    assert sorted(r["duracao"] for r in as_dicts(duration_cap(df))) == [0, 31999]
+
+
+def test_side_inversion(spark):
+    df = ledger(spark, *[{"lado": s, "nome": str(s)} for s in ("Compra", "Venda", "venda", None)])
+    sides = {r["nome"]: r["lado"] for r in as_dicts(clean(df))}
+    assert sides == {"Compra": "Venda", "Venda": "Compra", "venda": "Venda", "None": "Venda"}
+
+
+def test_ratios_and_outcome(spark):
+    df = ledger(
+        spark,
+        {"nome": "win", "liquido": 20.0, "quantidade": 4, "preco": 2.5},
+        {"nome": "loss", "liquido": -20.0, "quantidade": 4, "preco": 2.5},
+        {"nome": "unknown", "liquido": None},
+        {"nome": "no quantity", "quantidade": 0},
+        {"nome": "no price", "preco": 0.0},
+    )
+    got = {
+        r["nome"]: (r["valor_por_contrato"], r["valor_por_acao"], r["ranking"])
+        for r in as_dicts(clean(df))
+    }
+    assert got == {
+        "win": (5.0, 2.0, 1),
+        "loss": (-5.0, -2.0, -1),
+        "unknown": (None, None, 0),
+        "no quantity": (None, None, 1),
+        "no price": (0.01, None, 1),
+    }
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    df = ledger(spark, {"liquido": nan}, {"bruto": nan}, {"preco": nan})
+    rows = as_dicts(clean(df))
+    assert sorted([r["liquido"], r["bruto"], r["preco"]].index(None) for r in rows) == [0, 1, 2]
+    assert {r["ranking"] for r in rows if r["liquido"] is None} == {0}
+    assert missing_as_null(df.drop("liquido", "bruto", "preco")).count() == 3
+
+
+def test_row_filters_reach_the_scan(spark, tmp_path, capsys):
+    path = str(tmp_path / "raw")
+    ledger(spark, {}).write.parquet(path)
+    clean(spark.read.parquet(path)).select("codigo").explain("formatted")
+    plan = capsys.readouterr().out
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "Not(EqualNullSafe(liquido,0.0))" in pushed
+    assert "Not(EqualNullSafe(bruto,0.0))" in pushed
+    assert "LessThan(duracao,32000)" in pushed
+    read = next(line for line in plan.splitlines() if "ReadSchema" in line)
+    assert "preco" not in read and "nome" not in read

@@ -1,0 +1,87 @@
+import math
+
+import pytest
+
+from pregao.functions import (
+    currency_text,
+    fixed_point,
+    from_fixed_point,
+    nan_to_null,
+    round2,
+    snake_case,
+    ticker_root,
+)
+
+
+def value(spark, expression):
+    return spark.sql(f"SELECT {expression} AS v").first()["v"]
+
+
+@pytest.mark.parametrize(
+    ("header", "column"),
+    [
+        ("Data", "data"),
+        ("Datahora", "datahora"),
+        ("DataHora", "data_hora"),
+        ("Valor-Total", "valor_total"),
+        ("HTTPCode", "http_code"),
+        ("Preço Médio", "preço médio"),
+        ("DATAHORA", "datahora"),
+    ],
+)
+def test_snake_case(header, column):
+    assert snake_case(header) == column
+
+
+@pytest.mark.parametrize(
+    ("x", "shown"), [(0.125, 0.12), (2.675, 2.68), (1.005, 1.0), (-0.125, -0.12), (7.0, 7.0)]
+)
+def test_round2_breaks_ties_to_even(spark, x, shown):
+    assert value(spark, round2(f"{x}D")) == shown
+
+
+def test_round2_of_null_is_null(spark):
+    assert value(spark, round2("CAST(NULL AS DOUBLE)")) is None
+
+
+def test_nan_to_null(spark):
+    assert value(spark, nan_to_null("DOUBLE('NaN')")) is None
+    assert value(spark, nan_to_null("2.5D")) == 2.5
+    assert math.isinf(value(spark, nan_to_null("DOUBLE('Infinity')")))
+
+
+@pytest.mark.parametrize(
+    ("x", "text"),
+    [
+        (1234.5, "R$ 1,234.50"),
+        (-1234567.891, "R$ -1,234,567.89"),
+        (0.0, "R$ 0.00"),
+        (999.0, "R$ 999.00"),
+    ],
+)
+def test_currency_text(spark, x, text):
+    assert value(spark, currency_text(f"{x}D")) == text == f"R$ {x:,.2f}"
+
+
+def test_fixed_point_sums_are_exact(spark):
+    total = from_fixed_point(f"SUM({fixed_point('x')})")
+    assert spark.sql(f"SELECT CAST({total} AS DOUBLE) AS v FROM (SELECT EXPLODE(ARRAY_REPEAT(0.1D, 1000)) AS x)").first()["v"] == 100.0
+
+
+@pytest.mark.parametrize("decimals", [0, 2, 6])
+def test_fixed_point_scale(spark, decimals):
+    there_and_back = from_fixed_point(fixed_point("1.23456789D", decimals), decimals)
+    assert float(value(spark, there_and_back)) == round(1.23456789, decimals)
+
+
+def test_fixed_point_out_of_range_stops_the_job(spark):
+    with pytest.raises(Exception, match="OVERFLOW"):
+        value(spark, fixed_point("1e18"))
+
+
+@pytest.mark.parametrize(
+    ("codigo", "root"),
+    [("WINJ23", "WIN"), ("CCMK23", "CCM"), ("WIN", "WIN"), ("PETR4", "PETR4"), ("WI", "WI")],
+)
+def test_ticker_root(spark, codigo, root):
+    assert value(spark, ticker_root(f"'{codigo}'")) == root

@@ -1,0 +1,156 @@
+import datetime as dt
+import os
+
+import pytest
+from ledgers import as_dicts, ledger
+
+from pregao.operators.cleaning import clean
+from pregao.operators.profile import column_types, head, null_profile, shape
+from pregao.operators.selection import date_range
+from pregao.session import materialise, scratch_path
+from pregao.sources import read_export, read_ledger, write_export, write_ledger
+
+HEADER = "Data,Datahora,Hora,Nome,Codigo,Lado,Quantidade,Preco,Bruto,Liquido,Duracao,Observação"
+
+
+def export(tmp_path, *lines, name="export.csv", header=HEADER, encoding="iso-8859-1"):
+    (tmp_path / name).write_bytes("\n".join([header, *lines, ""]).encode(encoding))
+    return str(tmp_path / name)
+
+
+def test_latin1_export_with_missing_values(spark, tmp_path):
+    path = export(
+        tmp_path,
+        "2023-04-03,2023-04-03 09:01:02,09:01:02,Zé,WINJ23,Venda,2,110.5,10.0,9.5,33,Operação",
+        '2023-04-04,,10:00:00,"Silva, ""Jô""",PETR4,,100,NaN,,N/A,null,#N/A',
+    )
+    df = read_export(spark, path)
+    assert dict(df.dtypes) == {
+        "data": "date", "datahora": "timestamp_ntz", "hora": "string", "nome": "string",
+        "codigo": "string", "lado": "string", "quantidade": "bigint", "preco": "double",
+        "bruto": "double", "liquido": "double", "duracao": "bigint", "observação": "string",
+    }
+    first, second = as_dicts(df.orderBy("data"))
+    assert first["nome"] == "Zé" and first["observação"] == "Operação"
+    assert first["datahora"] == dt.datetime(2023, 4, 3, 9, 1, 2)
+    assert (first["quantidade"], first["preco"], first["liquido"]) == (2, 110.5, 9.5)
+    assert second["nome"] == 'Silva, "Jô"'
+    missing = ("datahora", "lado", "preco", "bruto", "liquido", "duracao", "observação")
+    assert {second[c] for c in missing} == {None}
+
+
+def test_dates_with_slashes_are_month_first(spark, tmp_path):
+    path = export(tmp_path, "04/03/2023,04/03/2023 9:01:02", header="Data,Datahora")
+    assert tuple(read_export(spark, path).first()) == (
+        dt.date(2023, 4, 3),
+        dt.datetime(2023, 4, 3, 9, 1, 2),
+    )
+    given = read_export(
+        spark, path, date_format="dd/MM/yyyy", timestamp_format="dd/MM/yyyy H:mm:ss"
+    )
+    assert tuple(given.first()) == (dt.date(2023, 3, 4), dt.datetime(2023, 3, 4, 9, 1, 2))
+
+
+@pytest.mark.parametrize(("header", "bad"), [("Data", "soon"), ("Preco", "cheap"), ("Quantidade", "1.5")])
+def test_a_bad_value_stops_the_job(spark, tmp_path, header, bad):
+    path = export(tmp_path, bad, header=header)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read_export(spark, path).collect()
+
+
+def test_type_override(spark, tmp_path):
+    path = export(tmp_path, "1.5", header="Quantidade")
+    assert read_export(spark, path, types={"quantidade": "double"}).first()[0] == 1.5
+
+
+def test_headers_equal_up_to_case_blank_or_repeated(spark, tmp_path):
+    path = export(
+        tmp_path, "2023-04-03 10:00:00,x,0,a,b", header="Datahora,DataHora,,Nota,Nota"
+    )
+    df = read_export(spark, path)
+    assert df.columns == ["datahora", "data_hora", "unnamed: 2", "nota", "nota.1"]
+    assert df.first()[0] == dt.datetime(2023, 4, 3, 10) and list(df.first()[1:]) == ["x", "0", "a", "b"]
+
+
+def test_two_headers_for_one_ledger_column(spark, tmp_path):
+    path = export(tmp_path, "1,2", header="Preco,PRECO")
+    with pytest.raises(ValueError, match="preco"):
+        read_export(spark, path)
+
+
+def test_many_files(spark, tmp_path):
+    export(tmp_path, "2023-04-03,1.0", name="a.csv", header="Data,Liquido")
+    export(tmp_path, "2023-04-04,2.0", name="b.csv", header="Data,Liquido")
+    assert read_export(spark, str(tmp_path / "*.csv")).count() == 2
+    export(tmp_path, "3.0,2023-04-05", name="c.csv", header="Liquido,Data")
+    with pytest.raises(Exception, match="header"):
+        read_export(spark, str(tmp_path / "*.csv")).collect()
+
+
+def test_quoted_line_break(spark, tmp_path):
+    path = export(tmp_path, '1.0,"two\nlines"', header="Liquido,Nota")
+    assert [tuple(r) for r in read_export(spark, path, multi_line=True).collect()] == [(1.0, "two\nlines")]
+
+
+def test_export_round_trip(spark, tmp_path):
+    df = ledger(spark, {"nome": 'José "Zé", filho'}, {"liquido": None, "lado": None})
+    write_export(df, str(tmp_path / "out"))
+    back = read_export(spark, str(tmp_path / "out"))
+    assert sorted(map(str, back.select(df.columns).collect())) == sorted(map(str, df.collect()))
+
+
+def test_ledger_table_prunes_days_and_keeps_undated_rows(spark, tmp_path, capsys):
+    days = [dt.date(2023, 4, d) for d in (3, 4, 5)]
+    df = clean(ledger(spark, *[{"data": d, "nome": str(d)} for d in days], {"data": None}))
+    path = str(tmp_path / "ledger")
+    write_ledger(df, path)
+    back = read_ledger(spark, path)
+    assert sorted(map(str, back.select(df.columns).collect())) == sorted(map(str, df.collect()))
+    chosen = date_range(back, "2023-04-04", "2023-04-04")
+    assert len(chosen.collect()) == 1
+    chosen.explain("formatted")
+    plan = capsys.readouterr().out
+    filters = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "data" in filters and "2023-04-04" in filters
+    assert "Filter" not in plan.split("(1) Scan")[0]
+
+
+def test_a_hot_day_is_split_over_files(spark, tmp_path):
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advisory)
+    spark.conf.set(advisory, "100KB")
+    try:
+        df = spark.range(300_000, numPartitions=16).selectExpr(
+            "UUID() AS hora",
+            "IF(id % 3 = 0, DATE'2023-04-03', DATE'2023-04-04' + CAST(id % 50 AS INT)) AS data",
+        )
+        path = str(tmp_path / "hot")
+        write_ledger(df, path)
+    finally:
+        spark.conf.set(advisory, before)
+    files = [f for f in os.listdir(f"{path}/data=2023-04-03") if f.endswith(".parquet")]
+    assert len(files) > 4
+    assert read_ledger(spark, path).count() == 300_000
+
+
+def test_materialise_writes_to_the_shared_folder(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    df = materialise(ledger(spark, {}, {}), "small")
+    assert df.count() == 2 and all(f"{shared}/pregao/small-" in f for f in df.inputFiles())
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_profile(spark):
+    df = ledger(spark, {"lado": None}, {"lado": None, "liquido": None}).withColumnRenamed("nome", "o'nome `x`")
+    nulls = {r["coluna"]: r["nulos"] for r in null_profile(df).collect()}
+    assert list(nulls) == df.columns
+    assert nulls["lado"] == 2 and nulls["liquido"] == 1 and nulls["o'nome `x`"] == 0
+    assert tuple(shape(df).first()) == (2, 10)
+    types = {r["coluna"]: (r["tipo"], r["presentes"]) for r in column_types(df).collect()}
+    assert types["data"] == ("date", 2) and types["liquido"] == ("double", 1)
+    assert head(df, 1).count() == 1
+
+
+def test_profile_of_an_empty_ledger(spark):
+    assert {r["nulos"] for r in null_profile(ledger(spark)).collect()} == {0}
+    assert tuple(shape(ledger(spark)).first()) == (0, 10)
