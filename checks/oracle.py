@@ -280,6 +280,7 @@ def oracle_sql() -> dict[str, str]:
         "strategy_totals": on_chosen(totals(SIX)),
         "strategy_totals_sem_milho": on_chosen(totals(FIVE), APRIL, rooted=False),
         "strategy_totals_arredondados": on_chosen(totals(FIVE, all_rounded=True), RANGE),
+        "scorecards_periodo": on_chosen(all_cards(), RANGE),
         "headline_currency": on_chosen(
             "SELECT estrategia, format('R$ {:,.2f}', resultado) AS resultado FROM "
             f"({totals(('abertura_futuros_ex_ccm', 'futuros_tarde', 'x_salada'))}) h"

@@ -16,6 +16,7 @@ from pregao.plans import (
     month_report,
     overview,
     overview_of_summary,
+    range_report,
     strategy_page,
 )
 from pregao.session import materialise, scratch_path
@@ -226,8 +227,9 @@ def queries() -> dict[str, Query]:
         # totals and time
         "strategy_totals": lambda s, f: overview(trades(s, f)).totals,
         "strategy_totals_sem_milho": lambda s, f: month_report(trades(s, f), MONTH).totals,
-        "strategy_totals_arredondados": lambda s, f: measures.strategy_totals(
-            selection.date_range(trades(s, f), *RANGE), st.WITHOUT_CORN, all_rounded=True
+        "strategy_totals_arredondados": lambda s, f: range_report(trades(s, f), *RANGE).totals,
+        "scorecards_periodo": lambda s, f: comparable(
+            range_report(trades(s, f), *RANGE).scorecards
         ),
         "headline_currency": headline_currency,
         "daily_cumulative": lambda s, f: overview(trades(s, f)).running,
@@ -249,8 +251,7 @@ def queries() -> dict[str, Query]:
         "header_normalisation": header_normalisation,
         "parquet_ledger": parquet_ledger,
     }
-    named = (*st.OVERVIEW, )
-    per_strategy = {f"rows_{s.key}": _rows_of(s) for s in named}
+    per_strategy = {f"rows_{s.key}": _rows_of(s) for s in st.OVERVIEW}
     per_strategy["rows_abertura_futuros_ex_ccm"] = _rows_of(st.ABERTURA_FUTUROS_EX_CCM)
     cards = {f"scorecard_{s.key}": _scorecard(s) for s in CARDS}
     cards["scorecard_abertura_futuros_ex_ccm"] = _scorecard(st.ABERTURA_FUTUROS_EX_CCM)

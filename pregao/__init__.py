@@ -4,10 +4,12 @@ from pregao.operators.cleaning import clean
 from pregao.operators.measures import daily_summary, scorecard, scorecards, strategy_totals
 from pregao.operators.series import daily_cumulative
 from pregao.plans import (
+    for_display,
     ledger_in_range,
     month_report,
     overview,
     overview_of_summary,
+    range_report,
     strategy_page,
 )
 from pregao.session import build_session, materialise
@@ -18,12 +20,14 @@ __all__ = [
     "clean",
     "daily_cumulative",
     "daily_summary",
+    "for_display",
     "ledger_from_events",
     "ledger_in_range",
     "materialise",
     "month_report",
     "overview",
     "overview_of_summary",
+    "range_report",
     "read_export",
     "read_ledger",
     "scorecard",

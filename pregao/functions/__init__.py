@@ -4,7 +4,13 @@ All of it runs inside generated code; there is no UDF.
 """
 
 from pregao.functions.headers import snake_case, snake_case_all
-from pregao.functions.numbers import fixed_point, from_fixed_point, nan_to_null, round2
+from pregao.functions.numbers import (
+    fixed_point,
+    from_fixed_point,
+    money_decimals,
+    nan_to_null,
+    round2,
+)
 from pregao.functions.text import currency_text
 from pregao.functions.tickers import (
     CORN,
@@ -23,6 +29,7 @@ __all__ = [
     "fixed_point",
     "from_fixed_point",
     "in_families",
+    "money_decimals",
     "nan_to_null",
     "round2",
     "snake_case",

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
+MONEY_DECIMALS_SETTING = "spark.pregao.moneyDecimals"
 MONEY_DECIMALS = 4
 
 
+def money_decimals(df: DataFrame) -> int:
+    """Decimals kept of every amount in a sum, a session setting.
+
+    The default holds sums up to 9e14; amounts with more decimals than the
+    setting are rounded to it, trade by trade.
+    """
+    return int(df.sparkSession.conf.get(MONEY_DECIMALS_SETTING, str(MONEY_DECIMALS)))
+
+
 def round2(x: str) -> str:
     """Two decimals, ties to even on the scaled double (``ROUND`` is half-up)."""
     return f"RINT(({x}) * 100) / 100"

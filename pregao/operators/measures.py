@@ -18,11 +18,11 @@ from pyspark.sql import types as T
 from pregao.functions import (
     fixed_point,
     from_fixed_point,
+    money_decimals,
     round2,
     three_letter_root,
     ticker_root,
 )
-from pregao.functions.numbers import MONEY_DECIMALS
 from pregao.operators.strategies import (
     OVERVIEW,
     PER_CONTRACT,
@@ -50,19 +50,18 @@ def _aggregate(df: DataFrame, keys: Iterable[str], measures: dict[str, str]) ->
     return df.groupBy(*keyed).agg(*[F.expr(m).alias(name) for name, m in measures.items()])
 
 
-def summarise(trades: DataFrame, *keys: str, money_decimals: int = MONEY_DECIMALS) -> DataFrame:
+def summarise(trades: DataFrame, *keys: str) -> DataFrame:
     """All partial measures of cleaned trades, per ``keys``."""
-    amount = fixed_point("liquido", money_decimals)
+    decimals = money_decimals(trades)
+    amount = fixed_point("liquido", decimals)
     if isinstance(trades.schema["duracao"].dataType, T.IntegralType):
         duration = "CAST(COALESCE(SUM(duracao), 0) AS DECIMAL(20,0))"
     else:
-        duration = from_fixed_point(
-            f"SUM({fixed_point('duracao', money_decimals)})", money_decimals
-        )
+        duration = from_fixed_point(f"SUM({fixed_point('duracao', decimals)})", decimals)
     win, loss = "FILTER (WHERE liquido > 0)", "FILTER (WHERE liquido < 0)"
     measures = {
-        "ganhos": from_fixed_point(f"SUM({amount}) {win}", money_decimals),
-        "perdas": from_fixed_point(f"SUM({amount}) {loss}", money_decimals),
+        "ganhos": from_fixed_point(f"SUM({amount}) {win}", decimals),
+        "perdas": from_fixed_point(f"SUM({amount}) {loss}", decimals),
         "qtd_melhores": f"COUNT(*) {win}",
         "qtd_piores": f"COUNT(*) {loss}",
         "melhor": f"MAX(liquido) {win}",

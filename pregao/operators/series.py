@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pregao.functions import fixed_point, from_fixed_point
-from pregao.functions.numbers import MONEY_DECIMALS
+from pregao.functions import fixed_point, from_fixed_point, money_decimals
 
 
-def daily_totals(trades: DataFrame, money_decimals: int = MONEY_DECIMALS) -> DataFrame:
+def daily_totals(trades: DataFrame) -> DataFrame:
     """Net result per day over all trades, in a strategy or not."""
-    total = f"SUM({fixed_point('liquido', money_decimals)})"
-    return _per_day(trades, from_fixed_point(total, money_decimals))
+    decimals = money_decimals(trades)
+    total = f"SUM({fixed_point('liquido', decimals)})"
+    return _per_day(trades, from_fixed_point(total, decimals))
 
 
 def daily_totals_of_summary(summary: DataFrame) -> DataFrame:
@@ -37,5 +37,5 @@ def running_total(days: DataFrame) -> DataFrame:
     ).orderBy("data")
 
 
-def daily_cumulative(trades: DataFrame, money_decimals: int = MONEY_DECIMALS) -> DataFrame:
-    return running_total(daily_totals(trades, money_decimals))
+def daily_cumulative(trades: DataFrame) -> DataFrame:
+    return running_total(daily_totals(trades))

@@ -25,6 +25,11 @@ class StrategyPage(NamedTuple):
     scorecard: DataFrame
 
 
+class RangeReport(NamedTuple):
+    totals: DataFrame
+    scorecards: DataFrame
+
+
 class MonthReport(NamedTuple):
     totals: DataFrame
     running: DataFrame
@@ -88,6 +93,19 @@ def strategy_page(
     )
 
 
+def range_report(trades: DataFrame, start: DateBound, end: DateBound) -> RangeReport:
+    """Totals to the cent and scorecards for typed-in dates, without corn.
+
+    A date left blank selects nothing.
+    """
+    chosen = date_range(trades, start, end)
+    summary = m.per_strategy(chosen, WITHOUT_CORN)
+    return RangeReport(
+        m.strategy_totals_of_summary(summary, WITHOUT_CORN, all_rounded=True),
+        m.scorecards_of_summary(summary, WITHOUT_CORN),
+    )
+
+
 def month_report(trades: DataFrame, month: int, year: int | None = None) -> MonthReport:
     """The report of a calendar month, with contract months kept apart and without corn."""
     chosen = month_filter(trades, month, year)
@@ -97,3 +115,8 @@ def month_report(trades: DataFrame, month: int, year: int | None = None) -> Mont
         daily_cumulative(chosen),
         m.scorecards_of_summary(summary, WITHOUT_CORN),
     )
+
+
+def for_display(card: DataFrame) -> DataFrame:
+    """A scorecard under the column titles its readers know."""
+    return card.withColumnRenamed("pct_vencedoras", "% vencedoras")
