@@ -75,12 +75,13 @@ def read_export(
 
     wanted = {**COLUMN_TYPES, **(types or {})}
     formats = {"date": date_format, "timestamp_ntz": timestamp_format}
-    return text.select(
-        *[
-            _typed(_present(F.col(f"c{i}")), wanted.get(name), formats).alias(name)
-            for i, name in enumerate(names)
-        ]
-    )
+    columns = []
+    for i, name in enumerate(names):
+        field = _present(F.col(f"c{i}"))
+        kind = wanted.get(name)
+        column = _parsed(field, kind, formats.get(kind), headers[i]) if kind else field
+        columns.append(column.alias(name))
+    return text.select(*columns)
 
 
 def _named(headers: list[str]) -> list[str]:
@@ -98,18 +99,24 @@ def _present(field: Column) -> Column:
     return F.when(~field.isin(*MISSING_TOKENS), field)
 
 
-def _typed(field: Column, kind: str | None, formats: Mapping[str, str | None]) -> Column:
-    if kind is None:
-        return field
-    if kind not in formats:
-        return field.cast(kind)
-    parse = F.to_date if kind == "date" else F.to_timestamp_ntz
-    given = formats[kind]
+def _parsed(field: Column, kind: str, given: str | None, header: str) -> Column:
+    """The typed value; a text that is none stops the job, in ANSI mode or not."""
+    if kind == "date":
+        value = _from_text(field, F.to_date, given, "M/d/yyyy", kind)
+    elif kind == "timestamp_ntz":
+        value = _from_text(
+            field, lambda f, form: F.to_timestamp_ntz(f, F.lit(form)), given, "M/d/yyyy H:mm:ss", kind
+        )
+    else:
+        value = field.try_cast(kind)
+    refused = F.raise_error(F.concat(F.lit(f"{header}: not a {kind}: "), field)).cast(kind)
+    return F.when(field.isNull() | value.isNotNull(), value).otherwise(refused)
+
+
+def _from_text(field: Column, parse, given: str | None, month_first: str, kind: str) -> Column:
     if given:
-        return parse(field, given if kind == "date" else F.lit(given))
-    slashed = "M/d/yyyy" if kind == "date" else "M/d/yyyy H:mm:ss"
-    month_first = parse(field, slashed if kind == "date" else F.lit(slashed))
-    return F.when(field.contains("/"), month_first).otherwise(field.cast(kind))
+        return parse(field, given)
+    return F.when(field.contains("/"), parse(field, month_first)).otherwise(field.try_cast(kind))
 
 
 def write_export(df: DataFrame, path: str, *, encoding: str = LATIN1, missing: str = "") -> None:

@@ -8,13 +8,26 @@ from pregao.operators import measures as m
 from pregao.operators import strategies as st
 from pregao.operators.cleaning import clean
 from pregao.operators.series import daily_cumulative
-from pregao.plans import overview, overview_of_summary, strategy_page
+from pregao.plans import (
+    for_display,
+    month_report,
+    overview,
+    overview_of_summary,
+    range_report,
+    strategy_page,
+)
 
 
 def trades(spark, *rows):
     return clean(ledger(spark, *rows))
 
 
+def assert_close(got, expected):
+    """Equal but for the last digits of means of ratios, which depend on row order."""
+    for a, b in zip(got.collect(), expected.collect(), strict=True):
+        assert list(a) == [pytest.approx(x, rel=1e-9) if isinstance(x, float) else x for x in b]
+
+
 def with_results(codigo, *results, **more):
     return [{"codigo": codigo, "liquido": r, **more} for r in results]
 
@@ -191,10 +204,7 @@ def test_join_form_equals_the_fold(sample, strategy):
     folded = m.scorecard(sample, strategy)
     assert joined.columns == folded.columns
 
-    def rows(df):
-        return {r["codigo"]: [pytest.approx(x, rel=1e-9) for x in r[1:]] for r in df.collect()}
-
-    assert {r["codigo"]: list(r[1:]) for r in joined.collect()} == rows(folded)
+    assert_close(joined.orderBy("codigo"), folded.orderBy("codigo"))
 
 
 def test_decided_trades_are_the_known_ones(sample):
@@ -225,8 +235,7 @@ def test_summary_serves_every_date_choice(sample, bounds):
     stored, direct = overview_of_summary(summary, *bounds), overview(sample, *bounds)
     assert stored.totals.collect() == direct.totals.collect()
     assert stored.running.collect() == direct.running.collect()
-    for a, b in zip(stored.scorecards.collect(), direct.scorecards.collect(), strict=True):
-        assert list(a) == [pytest.approx(x, rel=1e-9) if isinstance(x, float) else x for x in b]
+    assert_close(stored.scorecards, direct.scorecards)
 
 
 def test_strategy_page(sample):
@@ -243,3 +252,39 @@ def test_one_scan_and_no_join_per_overview(sample, capsys):
     plan = capsys.readouterr().out
     assert "Join" not in plan and "CartesianProduct" not in plan and "Python" not in plan
     assert plan.count("InMemoryTableScan") == 1
+
+
+def test_typed_dates(sample):
+    blank = range_report(sample, "", "2024-12-31")
+    assert {r["resultado"] for r in blank.totals.collect()} == {0.0}
+    assert blank.scorecards.count() == 0
+    typed = range_report(sample, "2024-02-01", "2024-12-31")
+    assert_close(typed.scorecards, overview(sample, "2024-02-01", "2024-12-31").scorecards)
+
+
+def test_month_report_keeps_contract_months(sample):
+    report = month_report(sample, 4)
+    assert [r["estrategia"] for r in report.totals.collect()] == [s.label for s in st.WITHOUT_CORN]
+    tickers = {(r["ordem"], r["codigo"]) for r in report.scorecards.collect()}
+    assert all(len(codigo) == 3 for ordem, codigo in tickers if ordem == 5)
+    assert any(len(codigo) > 3 for ordem, codigo in tickers if ordem == 1)
+
+
+def test_display_title(sample):
+    assert for_display(m.scorecard(sample, st.LEILAO)).columns[-1] == "% vencedoras"
+
+
+def test_amounts_with_many_decimals(spark):
+    rows = with_results("PETR4", *[0.000004] * 5)
+    assert as_dicts(m.strategy_totals(trades(spark, *rows)))[2]["resultado"] == 0.0
+    spark.conf.set("spark.pregao.moneyDecimals", "6")
+    try:
+        assert as_dicts(m.strategy_totals(trades(spark, *rows)))[2]["resultado"] == 0.00002
+    finally:
+        spark.conf.unset("spark.pregao.moneyDecimals")
+
+
+def test_large_sums_stay_exact(spark):
+    rows = with_results("PETR4", 123456789.01, 987654321.99, -0.01)
+    df = trades(spark, *rows).crossJoin(spark.range(1000)).drop("id")
+    assert as_dicts(m.strategy_totals(df))[2]["resultado"] == 1111111110990.0

@@ -35,3 +35,28 @@ def test_matches_sql(spark, name):
     expected = [tuple(r[i] for i in at) for r in want_rows]
     assert len(rows) == len(expected)
     assert sorted(rows, key=repr) == sorted(expected, key=repr)
+
+
+# Row counts of the sample ledger, worked out beforehand.
+KNOWN = {
+    "ledger_shape": 10_000,
+    "cleaned_ledger": 8_066,
+    "month_filter": 1_954,
+    "rows_abertura_futuros": 1_671,
+    "rows_abertura_futuros_ex_ccm": 1_452,
+    "rows_futuros_tarde": 1_997,
+    "rows_abertura_acoes": 688,
+    "rows_leilao": 1_198,
+    "rows_milho": 1_008,
+    "rows_x_salada": 408,
+    "scorecards": 34,
+    "daily_cumulative": 240,
+}
+
+
+@pytest.mark.skipif(not FOLDER.endswith("sf0.01"), reason="counts are for sf0.01")
+@pytest.mark.parametrize("name", KNOWN)
+def test_known_counts(spark, name):
+    got = QUERIES[name](spark, FOLDER)
+    count = got.first()["linhas"] if name == "ledger_shape" else got.count()
+    assert count == KNOWN[name]
