@@ -75,13 +75,13 @@ def read_export(
 
     wanted = {**COLUMN_TYPES, **(types or {})}
     formats = {"date": date_format, "timestamp_ntz": timestamp_format}
+    present = text.select(*[_present(c) for c in text.columns])
     columns = []
     for i, name in enumerate(names):
-        field = _present(F.col(f"c{i}"))
-        kind = wanted.get(name)
+        field, kind = F.col(f"c{i}"), wanted.get(name)
         column = _parsed(field, kind, formats.get(kind), headers[i]) if kind else field
         columns.append(column.alias(name))
-    return text.select(*columns)
+    return present.select(*columns)
 
 
 def _named(headers: list[str]) -> list[str]:
@@ -95,8 +95,8 @@ def _named(headers: list[str]) -> list[str]:
     return named
 
 
-def _present(field: Column) -> Column:
-    return F.when(~field.isin(*MISSING_TOKENS), field)
+def _present(name: str) -> Column:
+    return F.when(~F.col(name).isin(*MISSING_TOKENS), F.col(name)).alias(name)
 
 
 def _parsed(field: Column, kind: str, given: str | None, header: str) -> Column:
@@ -104,13 +104,15 @@ def _parsed(field: Column, kind: str, given: str | None, header: str) -> Column:
     if kind == "date":
         value = _from_text(field, F.to_date, given, "M/d/yyyy", kind)
     elif kind == "timestamp_ntz":
-        value = _from_text(
-            field, lambda f, form: F.to_timestamp_ntz(f, F.lit(form)), given, "M/d/yyyy H:mm:ss", kind
-        )
+        value = _from_text(field, _to_timestamp, given, "M/d/yyyy H:mm:ss", kind)
     else:
         value = field.try_cast(kind)
     refused = F.raise_error(F.concat(F.lit(f"{header}: not a {kind}: "), field)).cast(kind)
-    return F.when(field.isNull() | value.isNotNull(), value).otherwise(refused)
+    return F.coalesce(value, F.when(field.isNotNull(), refused))
+
+
+def _to_timestamp(field: Column, form: str) -> Column:
+    return F.to_timestamp_ntz(field, F.lit(form))
 
 
 def _from_text(field: Column, parse, given: str | None, month_first: str, kind: str) -> Column:
