@@ -287,6 +287,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "daily_cumulative": on_chosen(CUMULATIVE),
         "resumo_totals": on_chosen(totals(SIX), RANGE),
+        "resumo_totals_paginas": on_chosen(totals(("abertura_futuros_ex_ccm", *SIX[1:]))),
         "resumo_scorecards": on_chosen(all_cards(), RANGE),
         "resumo_cumulative": on_chosen(CUMULATIVE, RANGE),
         "null_profile": on_raw(

@@ -235,6 +235,9 @@ def queries() -> dict[str, Query]:
         "daily_cumulative": lambda s, f: overview(trades(s, f)).running,
         # the overview from a stored daily summary
         "resumo_totals": lambda s, f: overview_of_summary(stored_summary(s, f), *RANGE).totals,
+        "resumo_totals_paginas": lambda s, f: overview_of_summary(
+            stored_summary(s, f), strategies=st.PAGES
+        ).totals,
         "resumo_scorecards": lambda s, f: comparable(
             overview_of_summary(stored_summary(s, f), *RANGE).scorecards
         ),

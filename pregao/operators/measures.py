@@ -24,6 +24,7 @@ from pregao.functions import (
     ticker_root,
 )
 from pregao.operators.strategies import (
+    EVERY,
     OVERVIEW,
     PER_CONTRACT,
     PER_SHARE,
@@ -83,11 +84,12 @@ def merge(summary: DataFrame, *keys: str) -> DataFrame:
     return _aggregate(summary, keys, {c: f"{rule}({c})" for rule, cs in rules for c in cs})
 
 
-def daily_summary(trades: DataFrame, strategies: Strategies = OVERVIEW) -> DataFrame:
+def daily_summary(trades: DataFrame, strategies: Strategies = EVERY) -> DataFrame:
     """A summary per day, ticker and set of strategies.
 
-    Kept as a table, it answers every date choice without another pass over
-    the trades; trades in no strategy are in it for the daily totals.
+    Kept as a table, it answers every date choice and every selection of these
+    strategies without another pass over the trades; trades in no strategy are
+    in it for the daily totals.
     """
     return summarise(trades, "data", "codigo", f"{tag_bits(strategies)} AS tags")
 

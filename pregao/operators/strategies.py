@@ -35,6 +35,12 @@ class Strategy:
     """Scorecard order: best total first instead of by ticker."""
     always_rooted: bool = False
     """Contract months are folded even where the report keeps them apart."""
+    tag: int | None = None
+    """Position in a trade's tag bits; ``ordem`` unless another strategy has that."""
+
+    @property
+    def bit(self) -> int:
+        return 1 << (self.ordem if self.tag is None else self.tag)
 
     def matches(self) -> str:
         """Row predicate. ``hora`` is zero-padded text, so text order is time order."""
@@ -87,10 +93,11 @@ X_SALADA = Strategy(
     unit=PER_CONTRACT, always_rooted=True,
 )
 # The strategy pages leave corn out of the opening; the overview does not.
-ABERTURA_FUTUROS_EX_CCM = replace(ABERTURA_FUTUROS, without=CORN)
+ABERTURA_FUTUROS_EX_CCM = replace(ABERTURA_FUTUROS, without=CORN, tag=6)
 
 OVERVIEW = (ABERTURA_FUTUROS, FUTUROS_TARDE, ABERTURA_ACOES, LEILAO, MILHO, X_SALADA)
 PAGES = (ABERTURA_FUTUROS_EX_CCM, *OVERVIEW[1:])
+EVERY = (*OVERVIEW, ABERTURA_FUTUROS_EX_CCM)
 WITHOUT_CORN = tuple(s for s in OVERVIEW if s is not MILHO)
 
 
@@ -108,17 +115,17 @@ def select_strategy(df: DataFrame, strategy: Strategy) -> DataFrame:
 
 
 def tag_bits(strategies: tuple[Strategy, ...]) -> str:
-    """All strategies of a trade as one integer, bit ``ordem`` per strategy.
+    """All strategies of a trade as one integer with a bit per strategy.
 
     Strategies overlap, and a bit set lets a trade belong to several without
     being copied: rows are aggregated first and fanned out afterwards.
     """
-    return " + ".join(f"IF({s.matches()}, {1 << s.ordem}, 0)" for s in strategies)
+    return " + ".join(f"IF({s.matches()}, {s.bit}, 0)" for s in strategies)
 
 
 def fan_out(df: DataFrame, strategies: tuple[Strategy, ...], bits: str = "tags") -> DataFrame:
     """One row per strategy in the bit set, as column ``ordem``."""
-    slots = ", ".join(f"IF({bits} & {1 << s.ordem} != 0, {s.ordem}, NULL)" for s in strategies)
+    slots = ", ".join(f"IF({bits} & {s.bit} != 0, {s.ordem}, NULL)" for s in strategies)
     others = [c for c in df.columns if c != bits]
     fanned = df.selectExpr(*others, f"EXPLODE(ARRAY({slots})) AS ordem")
     return fanned.where("ordem IS NOT NULL")

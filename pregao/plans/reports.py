@@ -64,10 +64,11 @@ def overview_of_summary(
     start: DateBound = None,
     end: DateBound = None,
     strategies: tuple[Strategy, ...] = OVERVIEW,
+    root: bool = True,
 ) -> Overview:
     """The overview from a stored ``daily_summary``, for date choices that change often."""
     chosen = date_range(summary, start, end)
-    per_ticker = m.per_strategy_of_summary(chosen, strategies)
+    per_ticker = m.per_strategy_of_summary(chosen, strategies, root)
     return Overview(
         m.strategy_totals_of_summary(per_ticker, strategies),
         running_total(daily_totals_of_summary(chosen)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pregao.operators import measures as m
 from pregao.operators import strategies as st
 from pregao.operators.cleaning import clean
+from pregao.operators.selection import month_filter
 from pregao.operators.series import daily_cumulative
 from pregao.plans import (
     for_display,
@@ -238,6 +239,17 @@ def test_summary_serves_every_date_choice(sample, bounds):
     assert_close(stored.scorecards, direct.scorecards)
 
 
+def test_summary_serves_every_selection_of_strategies(sample):
+    summary = m.daily_summary(sample)
+    pages = overview_of_summary(summary, strategies=st.PAGES)
+    assert pages.totals.collect() == overview(sample, strategies=st.PAGES).totals.collect()
+    assert_close(pages.scorecards, overview(sample, strategies=st.PAGES).scorecards)
+    april = overview_of_summary(month_filter(summary, 4), strategies=st.WITHOUT_CORN, root=False)
+    assert april.totals.collect() == month_report(sample, 4).totals.collect()
+    assert april.running.collect() == month_report(sample, 4).running.collect()
+    assert_close(april.scorecards, month_report(sample, 4).scorecards)
+
+
 def test_strategy_page(sample):
     for s in st.with_scorecard(st.PAGES):
         page = strategy_page(sample, s)
