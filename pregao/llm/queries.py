@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregao.llm import hilbert, winnowing
+from pregao.llm import hilbert, simhash, winnowing
 from pregao.llm.common import table
 from pregao.llm.neighbours import with_next
 
@@ -60,8 +60,13 @@ def op3_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op3_winnowing)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op3_winnowing, op6_simhash_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

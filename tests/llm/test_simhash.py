@@ -1,0 +1,112 @@
+from __future__ import annotations
+
+import itertools
+import random
+import re
+
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+
+from pregao.llm import queries, simhash
+from pregao.llm.graph import components
+
+from .test_hilbert import save
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(nodes, near):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in near:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_query_against_loops(spark, tmp_path):
+    rng = random.Random(2)
+    words = [f"Wörd{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    for t in texts[:25]:
+        w = t.split(" ")
+        w[rng.randrange(len(w))] = "changed"
+        texts += [" ".join(w), t, t.upper().replace("Ö", "ö"), t + "\x0b end"]
+    rows = [(i * 2 + 5, t, "en", "s", 1) for i, t in enumerate(texts)]
+    rows += [(1, None, "en", "s", 0), (3, " \t", "en", "s", 2), (9001, "two words", "en", "s", 2), (9002, "x\x85y z", "en", "s", 2)]
+    rng.shuffle(rows)
+    prints = {r[0]: brute_fingerprint(r[1]) for r in rows}
+    near = [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    names = brute_components(prints, near)
+    out = queries.op6_simhash_near_duplicates(spark, save(spark, tmp_path, rows)).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in out} == {
+        d: (f"{p:016x}", names[d]) for d, p in prints.items()
+    }
+    assert len(out) == len(rows)
+
+
+def test_every_close_pair_meets_in_a_list():
+    for bits in (1, 2, 4, 5, 7):
+        groups = simhash.index_groups(bits)
+        for agree in itertools.combinations(range(8), 8 - bits):
+            assert any(set(g) <= set(agree) for g in groups)
+    assert len(simhash.index_groups(4)) <= 24
+
+
+def test_links_of_dense_and_sparse_prints(spark):
+    rng = random.Random(4)
+    centre = rng.getrandbits(64)
+    values = {centre}
+    for _ in range(300):
+        values.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))))
+    walk = rng.getrandbits(64)
+    for _ in range(80):  # a chain: each link is short, the ends are far apart
+        walk ^= sum(1 << b for b in rng.sample(range(64), 4))
+        values.add(walk)
+    values |= {rng.getrandbits(64) for _ in range(200)} | {0, 2**64 - 1, 2**63}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in signed], "fingerprint long")
+    near = [(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
+    expected = brute_components(signed, near)
+    for block in (7, 4096):
+        found = {r["node"]: r["component"] for r in components(simhash.links(df, 4, block)).collect()}
+        assert {v: found.get(v, v) for v in signed} == expected, block
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (7, 7)]
+    edges += [(2001, 2000), (2000, 2001), (None, 4)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)} | {2000: 2000, 2001: 2000}
+    none = spark.createDataFrame([], "u long, v long")
+    assert components(none).collect() == []
+
+
+def test_long_text_and_stripes():
+    text = " ".join(f"w{i % 977}" for i in range(70_000))
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+    assert np.array_equal(simhash.list_links(np.array([1]), np.array([0]), np.array([5], np.uint64), 4), np.empty((0, 2)))
+
+
+def test_keep_first(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(3, long, "x"), (1, long + " w1", "y"), (None, long, "z"), (None, "no id at all", "n"), (None, "no id at all", "n")]
+    rows += [(8, "own words here now", "a"), (8, "own words here now", "a"), (9, None, "b"), (10, "", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["fingerprint"]) for r in kept.collect()) == [(0, "n"), (1, "y"), (8, "a"), (9, "b")]
+    assert simhash.keep_first(df.filter(F.lit(False))).collect() == []
