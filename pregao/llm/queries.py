@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregao.llm import hilbert, simhash, winnowing
+from pregao.llm import byteconv, hilbert, simhash, winnowing
 from pregao.llm.common import table
 from pregao.llm.neighbours import with_next
 
@@ -60,13 +60,32 @@ def op3_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
+KEEP_SCORE = 0.3
+
+
+def quality_network(spark: SparkSession, folder: str, docs: DataFrame) -> byteconv.Network:
+    return byteconv.fit(docs, table(spark, folder, "labels").filter(f"NOT {HELD_OUT}"))
+
+
+def op4_byte_conv_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = byteconv.scored(docs, quality_network(spark, folder, docs), ["doc_id"])
+    return found.select(
+        "doc_id",
+        F.expr(HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"),
+    )
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op3_winnowing, op6_simhash_near_duplicates)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op3_winnowing, op4_byte_conv_quality, op6_simhash_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,81 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pregao.llm import byteconv as b
+from pregao.llm import queries
+
+from .test_hilbert import save
+
+DATA = "/root/testdata/sf0.01"
+
+
+def loss(net, texts, labels, weights):
+    p = b.score(net, texts)
+    return float(-(weights * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum() / weights.sum())
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(32, 120, n).astype(np.uint8)) for n in (1, 40, 256, 257, 900)] + [b""]
+    labels, weights = np.array([1, 0, 1, 0, 1, 1.0]), np.array([1, 2, 1, 0.5, 1, 1.0])
+    net = b.new_network(0.6)
+    net = b.Network(*[p.astype(np.float64) + 0.01 * rng.standard_normal(p.shape) for p in net.parameters()])
+    for p, g in zip(net.parameters(), b.gradients(net, texts, labels, weights), strict=True):
+        for at in rng.integers(0, p.size, 6):
+            old, step = p.flat[at], 1e-5
+            p.flat[at] = old + step
+            up = loss(net, texts, labels, weights)
+            p.flat[at] = old - step
+            down = loss(net, texts, labels, weights)
+            p.flat[at] = old
+            assert g.flat[at] == pytest.approx((up - down) / (2 * step), abs=2e-4)
+
+
+def test_blocks_cover_the_whole_text(monkeypatch):
+    rng = np.random.default_rng(2)
+    net = b.new_network(0.5)
+    text = bytes(rng.integers(0, 256, 10_000).astype(np.uint8))
+    for n in (0, 1, 255, 256, 257, 511, 512, 2047, 2048, 2049, 9_999):
+        whole = b.score(net, [text[:n]])[0]
+        monkeypatch.setattr(b, "BLOCK_BYTES", 1024)
+        assert b.score(net, [text[:n]])[0] == pytest.approx(whole, abs=1e-5)
+        monkeypatch.undo()
+    changed = bytearray(text)
+    changed[-300:] = b"!" * 300
+    assert b.score(net, [bytes(changed)])[0] != b.score(net, [text])[0]
+
+
+def test_query_on_held_out_labels(spark):
+    out = {r["doc_id"]: r for r in queries.op4_byte_conv_quality(spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert len(out) == docs.count()
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").collect()
+    held = [r for r in labels if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    for r in out.values():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    good = [out[r["doc_id"]] for r in held if r["quality"] == 1]
+    bad = [out[r["doc_id"]] for r in held if r["quality"] == 0]
+    assert sum(r["predicted"] for r in good) >= 0.95 * len(good)
+    assert sum(1 - r["predicted"] for r in bad) >= 0.6 * len(bad)
+
+
+def test_odd_rows(spark, tmp_path):
+    rows = [(i, "fine words in a row " * 5, "en", "s", 1) for i in range(20)] + [(50 + i, "!!#%" * 9, "en", "s", 1) for i in range(20)]
+    rows += [(None, None, None, None, None), (1, "fine words in a row " * 5, "en", "s", 1), (99, "", "en", "s", 0)]
+    folder = save(spark, tmp_path, rows)
+    labels = [(i, 1, 0) for i in range(20)] + [(50 + i, 0, 0) for i in range(20)] + [(None, 1, 0), (3, None, 0), (777, 0, 0)]
+    save(spark, tmp_path, labels, "doc_id long, quality int, toxic int", "labels")
+    out = queries.op4_byte_conv_quality(spark, folder).collect()
+    assert len(out) == len(rows)
+    by_id = {r["doc_id"]: r["score"] for r in out}
+    assert by_id[2] == by_id[1] > by_id[60] and by_id[None] == by_id[99]
+    net = b.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.createDataFrame([], "doc_id long, quality int"))
+    assert b.score(net, [b"", b"x"]).min() > 0.99
+    empty = spark.read.parquet(f"{folder}/documents.parquet").filter(F.lit(False))
+    assert b.scored(empty.withColumn("score", F.lit("clash")), net, ["doc_id"]).collect() == []
