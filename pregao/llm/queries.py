@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregao.llm import byteconv, hilbert, simhash, winnowing
+from pregao.llm import byteconv, hilbert, packing, simhash, winnowing
 from pregao.llm.common import table
 from pregao.llm.neighbours import with_next
 
@@ -79,13 +79,23 @@ def op4_byte_conv_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, folder, "documents"), tokenizer_path()))
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op3_winnowing, op4_byte_conv_quality, op6_simhash_near_duplicates)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op3_winnowing, op4_byte_conv_quality, op5_pattern_packing, op6_simhash_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
