@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregao.llm import byteconv, hilbert, packing, simhash, winnowing
+from pregao.llm import byteconv, hilbert, mixing, packing, simhash, winnowing
 from pregao.llm.common import table
 from pregao.llm.neighbours import with_next
 
@@ -94,8 +94,14 @@ def op6_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op7_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mix(table(spark, folder, "documents"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return found.select("doc_id", "size", "source_size", "target", taken, "copies", "source")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op3_winnowing, op4_byte_conv_quality, op5_pattern_packing, op6_simhash_near_duplicates)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op3_winnowing, op4_byte_conv_quality, op5_pattern_packing, op6_simhash_near_duplicates, op7_entropy_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
