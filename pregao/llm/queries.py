@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregao.llm import byteconv, hilbert, mixing, packing, simhash, winnowing
+from pregao.llm import byteconv, hilbert, lines, mixing, packing, simhash, winnowing
 from pregao.llm.common import table
 from pregao.llm.neighbours import with_next
 
@@ -100,8 +100,20 @@ def op7_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", taken, "copies", "source")
 
 
+def op9_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = lines.without_repeated_lines(docs)
+    return found.select(
+        "doc_id",
+        F.col("_lines").alias("n_lines"),
+        F.col("_dropped").alias("dropped_lines"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.crc32("text").alias("text_crc32"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op3_winnowing, op4_byte_conv_quality, op5_pattern_packing, op6_simhash_near_duplicates, op7_entropy_mixing)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op3_winnowing, op4_byte_conv_quality, op5_pattern_packing, op6_simhash_near_duplicates, op7_entropy_mixing, op9_fuzzy_lines)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,7 @@ looked at.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,12 +103,19 @@ def index_groups(max_bits: int, group: int = GROUP) -> list[tuple[int, ...]]:
     return chosen
 
 
-def list_links(key: np.ndarray, side: np.ndarray, values: np.ndarray, max_bits: int) -> np.ndarray:
+def list_links(
+    key: np.ndarray,
+    side: np.ndarray,
+    values: np.ndarray,
+    max_bits: int,
+    accept: Callable[[int, int], bool] | None = None,
+) -> np.ndarray:
     """A spanning forest of the links inside each run of equal keys, as index pairs.
 
     Row i is compared with row i + d of its run, for d = 1, 2, ... at once over all runs;
     pairs that earlier links already join are passed over. Two blocks of one list (sides 1
-    and 2) are compared with each other, a single block (side 0) with itself.
+    and 2) are compared with each other, a single block (side 0) with itself. ``accept`` has the
+    last word on a pair.
     """
     size = len(values)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -126,7 +133,7 @@ def list_links(key: np.ndarray, side: np.ndarray, values: np.ndarray, max_bits:
                 p = root[p]
             while root[q] != q:
                 q = root[q]
-            if p != q:
+            if p != q and (accept is None or accept(x, x + step)):
                 root[max(p, q)] = min(p, q)
                 found.append((x, x + step))
         while len(a) and not np.array_equal(root, up := root[root]):
@@ -135,21 +142,52 @@ def list_links(key: np.ndarray, side: np.ndarray, values: np.ndarray, max_bits:
     return np.array(found, np.int64).reshape(-1, 2)
 
 
-def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Links of sorted rows; the last run of a batch waits for its rest in the next one."""
-    held = np.empty((4, 0), np.int64)
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int = 2) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Sorted rows in tables that never cut a run of equal leading ``keys``, with a number per run.
+
+    The last run of a batch waits for its rest in the next one.
+    """
+    held = None
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
-            held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-            change = np.flatnonzero((held[:2, 1:] != held[:2, :-1]).any(axis=0))
-            done = change[-1] + 1 if len(change) else 0
-        else:
-            done = held.shape[1]
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+        if held is None or not len(held):
+            continue
+        columns = [held.column(k).to_numpy() for k in range(keys)]
+        change = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        ends = np.flatnonzero(change)
+        done = len(held) if batch is None else int(ends[-1]) + 1 if len(ends) else 0
         if done:
-            (lists, pair, side, values), held = held[:, :done], held[:, done:]
-            run = np.cumsum(np.r_[True, (lists[1:] != lists[:-1]) | (pair[1:] != pair[:-1])])
-            ends = list_links(run, side, np.ascontiguousarray(values).view(np.uint64), max_bits)
-            yield pa.record_batch([pa.array(values[ends[:, 0]]), pa.array(values[ends[:, 1]])], names=["u", "v"])
+            yield np.cumsum(np.r_[True, change[: done - 1]]), held.slice(0, done)
+            held = held.slice(done)
+
+
+def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    for run, rows in whole_runs(batches):
+        values = rows.column("fingerprint").to_numpy()
+        ends = list_links(run, rows.column("side").to_numpy(), values.view(np.uint64), max_bits)
+        yield pa.record_batch([pa.array(values[ends[:, 0]]), pa.array(values[ends[:, 1]])], names=["u", "v"])
+
+
+def in_blocks(index: DataFrame, sizes: DataFrame, block: int, how: str) -> DataFrame:
+    """Deal the rows (list, fingerprint) of long lists to pairs of blocks: adds ``pair`` and ``side``.
+
+    ``sizes`` (list, rows) names the lists to be cut; others are one block (``how`` "left") or
+    go ("inner"). Block b meets every block: as side 0 with itself, 1 with later ones, 2 with
+    earlier ones.
+    """
+    blocks = F.coalesce(F.ceil(F.col("rows") / F.lit(block)), F.lit(1).cast("long"))
+    own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks"))
+    meets = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+        lambda o: F.struct(
+            (F.least(o, F.col("own")) * F.lit(1 << 32) + F.greatest(o, F.col("own"))).alias("pair"),
+            F.when(o == F.col("own"), 0).when(o > F.col("own"), 1).otherwise(2).cast("long").alias("side"),
+        ),
+    )
+    dealt = index.join(sizes, "list", how).withColumn("blocks", blocks).withColumn("own", own)
+    return dealt.withColumn("m", F.explode(meets)).select("list", "m.pair", "m.side", "fingerprint")
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
@@ -166,23 +204,9 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
     index = distinct.select(
         "fingerprint", F.explode(F.array(*[key(g, i) for i, g in enumerate(groups)])).alias("list")
     )
+    # A list of one row has no pairs.
     sizes = index.groupBy("list").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    blocks = F.ceil(F.col("rows") / F.lit(block))
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks"))
-    # Block b meets every block: as side 0 with itself, 1 with later ones, 2 with earlier ones.
-    meets = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-        lambda o: F.struct(
-            (F.least(o, F.col("own")) * F.lit(1 << 32) + F.greatest(o, F.col("own"))).alias("pair"),
-            F.when(o == F.col("own"), 0).when(o > F.col("own"), 1).otherwise(2).cast("long").alias("side"),
-        ),
-    )
-    listed = (
-        index.join(sizes.select("list", blocks.alias("blocks")), "list")
-        .withColumn("own", own)
-        .withColumn("m", F.explode(meets))
-        .select("list", "m.pair", "m.side", "fingerprint")
-    )
+    listed = in_blocks(index, sizes, block, "inner")
     runs = listed.repartition("list", "pair").sortWithinPartitions("list", "pair")
     return runs.mapInArrow(lambda batches: _links(batches, max_bits), "u long, v long")
 
