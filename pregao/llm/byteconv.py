@@ -259,16 +259,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", epochs: int
     return train([r["_text"].encode() for r in taken], values, weights / weights.mean(), good / (good + bad), epochs)
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
+def _score_batches(batches: Iterator[pa.RecordBatch], net: Network, carry: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
+        texts = batch.column("_scored").cast(pa.binary())
         scores = score(net, [t.as_py() or b"" for t in texts])
-        others = [n for n in batch.schema.names if n != "text"]
-        yield pa.record_batch([*[batch.column(n) for n in others], pa.array(scores)], names=[*others, "score"])
+        yield pa.record_batch([*[batch.column(n) for n in carry], pa.array(scores)], names=[*carry, "score"])
 
 
 def scored(docs: DataFrame, net: Network, carry: list[str]) -> DataFrame:
-    """``carry`` columns and ``score`` of every row; texts only travel to the scoring task."""
-    rows = docs.select(*[c for c in carry if c != "text"], "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(lambda batches: _score_batches(batches, net), f"{schema}, score double")
+    """``carry`` columns and ``score`` of every row; an old column of that name is replaced."""
+    carry = [c for c in carry if c != "score"]
+    rows = docs.select(*carry, F.col("text").alias("_scored"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_scored")
+    return rows.mapInArrow(lambda batches: _score_batches(batches, net, carry), f"{schema}, score double")

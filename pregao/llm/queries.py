@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregao.llm import byteconv, hilbert, lines, mixing, packing, simhash, winnowing
+from pregao.llm import byteconv, hilbert, lines, mixing, packing, pages, simhash, winnowing
 from pregao.llm.common import table
 from pregao.llm.neighbours import with_next
 
@@ -112,8 +112,12 @@ def op9_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extracted(table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op3_winnowing, op4_byte_conv_quality, op5_pattern_packing, op6_simhash_near_duplicates, op7_entropy_mixing, op9_fuzzy_lines)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op3_winnowing, op4_byte_conv_quality, op5_pattern_packing, op6_simhash_near_duplicates, op7_entropy_mixing, op9_fuzzy_lines, op10_page_text)}
 
 
 def oracle_sql() -> dict[str, str]:
