@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregao.llm import byteconv, chat, hilbert, lines, mixing, packing, pages, simhash, winnowing
+from pregao.llm import byteconv, chat, hilbert, lines, mixing, packing, pages, postings, simhash, winnowing
 from pregao.llm.common import table
 from pregao.llm.neighbours import with_next
 
@@ -38,6 +38,10 @@ def op1_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return postings.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     values = {"text": F.col("text"), "kept": winnowing.winnow(F.col("text"))}
@@ -131,7 +135,19 @@ def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op3_winnowing, op4_byte_conv_quality, op5_pattern_packing, op6_simhash_near_duplicates, op7_entropy_mixing, op8_typed_chat, op9_fuzzy_lines, op10_page_text)}
+    found = (
+        op1_hilbert_shards,
+        op2_posting_lists,
+        op3_winnowing,
+        op4_byte_conv_quality,
+        op5_pattern_packing,
+        op6_simhash_near_duplicates,
+        op7_entropy_mixing,
+        op8_typed_chat,
+        op9_fuzzy_lines,
+        op10_page_text,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
