@@ -40,7 +40,7 @@ from pregao.session import materialise
 CAPACITY = 4096
 END_TOKEN = 1
 BINS = 256
-SLICE_BYTES = 8_000_000  # text tokenized at once
+SLICE_BYTES = 12_000_000  # text tokenized at once
 
 _tokenizers: dict = {}
 
@@ -56,21 +56,41 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _gather(ids: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs ``picks`` of a flat array of runs, and where each begins in the result (and it ends)."""
+    starts, picked = np.cumsum(sizes) - sizes, sizes[picks]
+    ends = np.r_[0, np.cumsum(picked)]
+    return ids[np.repeat(starts[picks] - ends[:-1], picked) + np.arange(ends[-1])], ends
+
+
+def _word_parts(words: pa.Array) -> pa.Array:
+    """Each word as parts that are encoded alone: ASCII punctuation after a Latin letter, and the rest.
+
+    The tokenizer cuts there anyway and lowers case anyway, so this only makes more words alike.
+    (Some letters of other scripts normalise to a letter and a mark, which joins the punctuation.)
+    Words with combining marks keep their case, since lowering it first may change how they compose.
+    """
+    plain = pc.invert(pc.match_substring_regex(words, r"\pM"))
+    lowered = pc.if_else(plain, pc.ascii_lower(words), words)
+    return pc.split_pattern(pc.replace_substring_regex(lowered, r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])", r"\1 \2"), " ")
+
+
 def token_ids(tok, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts in a row, and where each text begins (one more entry than texts).
 
-    For tokenizers that never join what white space parts: each distinct word is encoded once.
+    For tokenizers that lower case and never join what white space or a letter and a following
+    punctuation mark part: each distinct word part is encoded once.
     """
     words = pc.ascii_split_whitespace(texts)
     coded = words.flatten().dictionary_encode()
-    found = [e.ids for e in tok.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
+    parts = _word_parts(coded.dictionary)
+    distinct = parts.flatten().dictionary_encode()
+    found = [e.ids for e in tok.encode_batch_fast(distinct.dictionary.to_pylist(), add_special_tokens=False)]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
-    word = coded.indices.to_numpy()
-    per_word = sizes[word]
-    ends = np.r_[0, np.cumsum(per_word)]
-    flat = ids[np.repeat(starts[word] - ends[:-1], per_word) + np.arange(ends[-1])]
+    ids, ends = _gather(ids, sizes, distinct.indices.to_numpy())
+    per_word = np.diff(ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
+    flat, ends = _gather(ids, per_word, coded.indices.to_numpy())
     return flat, ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
 
 
