@@ -7,11 +7,16 @@ from __future__ import annotations
 
 LEDGER_SQL = """
 SELECT event_id,
-  CAST(ts AS DATE) + CAST(MOD(event_id, 4) * 30 + CASE WHEN MOD(event_id, 7) = 0 THEN 366 ELSE 0 END AS INT) AS data,
-  nome, codigo, lado, quantidade, preco, bruto, liquido, duracao,
-  CONCAT(LPAD(CAST(CAST(FLOOR(sod / 3600) AS INT) AS STRING), 2, '0'), ':',
+  CASE WHEN MOD(event_id, 79) <> 7 THEN CAST(ts AS DATE)
+    + CAST(MOD(event_id, 4) * 30 + CASE WHEN MOD(event_id, 7) = 0 THEN 366 ELSE 0 END AS INT) END AS data,
+  CASE WHEN MOD(event_id, 89) <> 3 THEN nome END AS nome,
+  CASE WHEN MOD(event_id, 83) <> 5 THEN codigo END AS codigo,
+  CASE WHEN MOD(event_id, 71) <> 4 THEN lado END AS lado,
+  CAST(CASE WHEN MOD(event_id, 67) = 6 THEN 0 ELSE quantidade END AS BIGINT) AS quantidade,
+  CASE WHEN MOD(event_id, 61) = 8 THEN 0.0 ELSE preco END AS preco, bruto, liquido, duracao,
+  CASE WHEN MOD(event_id, 73) <> 2 THEN CONCAT(LPAD(CAST(CAST(FLOOR(sod / 3600) AS INT) AS STRING), 2, '0'), ':',
          LPAD(CAST(CAST(FLOOR(MOD(sod, 3600) / 60) AS INT) AS STRING), 2, '0'), ':',
-         LPAD(CAST(MOD(sod, 60) AS STRING), 2, '0')) AS hora
+         LPAD(CAST(MOD(sod, 60) AS STRING), 2, '0')) END AS hora
 FROM (
   SELECT event_id, ts,
     CONCAT('OP', LPAD(CAST(MOD(user_id, 12) AS STRING), 2, '0')) AS nome,
@@ -109,7 +114,7 @@ def r2(x: str) -> str:
 
 
 def money(x: str = "liquido") -> str:
-    return f"COALESCE(CAST(SUM(CAST({x} AS DECIMAL(18,4))) AS DOUBLE), 0.0)"
+    return f"COALESCE(CAST(SUM(CAST({x} AS DECIMAL(38,12))) AS DOUBLE), 0.0)"
 
 
 def maybe_r2(x: str, condition: bool) -> str:
@@ -128,7 +133,7 @@ def winners_part(key: str) -> str:
     return (
         f"SELECT codigo, {maybe_r2(mean, key in SHARE)} AS media_melhores, "
         f"COUNT(liquido) AS qtd_melhores, {maybe_r2(best, key in SHARE)} AS melhor "
-        f"FROM t WHERE {WHERE[key]} AND liquido > 0 GROUP BY codigo"
+        f"FROM t WHERE {WHERE[key]} AND liquido > 0 AND codigo IS NOT NULL GROUP BY codigo"
     )
 
 
@@ -138,7 +143,7 @@ def losers_part(key: str) -> str:
     return (
         f"SELECT codigo, {maybe_r2(mean, key in SHARE)} AS media_piores, "
         f"COUNT(liquido) AS qtd_piores, {maybe_r2(worst, key in SHARE)} AS pior "
-        f"FROM t WHERE {WHERE[key]} AND liquido < 0 GROUP BY codigo"
+        f"FROM t WHERE {WHERE[key]} AND liquido < 0 AND codigo IS NOT NULL GROUP BY codigo"
     )
 
 
@@ -147,7 +152,7 @@ def unit_part(key: str) -> str:
         value, name = "ROUND(AVG(valor_por_acao) * 100, 6)", "valor_por_acao"
     else:
         value, name = "ROUND(AVG(valor_por_contrato), 6)", "valor_por_contrato"
-    return f"SELECT codigo, {value} AS {name} FROM t WHERE {WHERE[key]} GROUP BY codigo"
+    return f"SELECT codigo, {value} AS {name} FROM t WHERE {WHERE[key]} AND codigo IS NOT NULL GROUP BY codigo"
 
 
 def duration_part(key: str) -> str:
@@ -155,7 +160,7 @@ def duration_part(key: str) -> str:
     rounded = key in SHARE or key.startswith("abertura_futuros")
     return (
         f"SELECT codigo, {maybe_r2(mean, rounded)} AS duracao "
-        f"FROM t WHERE {WHERE[key]} GROUP BY codigo"
+        f"FROM t WHERE {WHERE[key]} AND codigo IS NOT NULL GROUP BY codigo"
     )
 
 
@@ -194,6 +199,37 @@ def all_cards(rooted: bool = True) -> str:
     )
 
 
+def keyed_cards(keys) -> str:
+    stacked = []
+    for k in keys:
+        units = ["valor_por_contrato", "CAST(NULL AS DOUBLE) AS valor_por_acao"]
+        if k in SHARE:
+            units = ["CAST(NULL AS DOUBLE) AS valor_por_contrato", "valor_por_acao"]
+        stacked.append(
+            f"SELECT '{k}' AS chave, CAST({ORDEM[k]} AS INT) AS ordem, codigo, liquido, "
+            "media_melhores, qtd_melhores, melhor, media_piores, qtd_piores, pior, "
+            f"{', '.join(units)}, duracao, pct_vencedoras FROM ({card(k)}) c"
+        )
+    return " UNION ALL ".join(stacked)
+
+
+def trader_part(key: str) -> str:
+    return (
+        f"SELECT nome, codigo, {money()} AS liquido FROM t WHERE {WHERE[key]} "
+        "AND nome IS NOT NULL AND codigo IS NOT NULL GROUP BY nome, codigo"
+    )
+
+
+def month_part(part):
+    """A part over the month, where only X Salada has its tickers rooted."""
+
+    def over(key: str) -> str:
+        sql = part(key)
+        return sql.replace("FROM t WHERE", "FROM t_root WHERE") if key == "x_salada" else sql
+
+    return over
+
+
 def totals(keys, all_rounded: bool = False) -> str:
     rows = []
     for k in keys:
@@ -211,10 +247,11 @@ def totals(keys, all_rounded: bool = False) -> str:
     return " UNION ALL ".join(rows)
 
 
-CUMULATIVE = f"""SELECT data, CAST(liq AS DOUBLE) AS liquido,
+CUMULATIVE = """SELECT data, CAST(liq AS DOUBLE) AS liquido,
   CAST(SUM(liq) OVER (ORDER BY data) AS DOUBLE) AS acumulado
-FROM (SELECT data, COALESCE(SUM(CAST(liquido AS DECIMAL(18,4))), 0) AS liq
+FROM (SELECT data, COALESCE(SUM(CAST(liquido AS DECIMAL(38,12))), 0) AS liq
       FROM t GROUP BY data) d"""
+FRACTIONAL = CUMULATIVE.replace("CAST(liquido AS", "CAST(liquido * 1e-6 AS")
 
 COLUMN_TYPES = {
     "event_id": "bigint", "data": "date", "nome": "string", "codigo": "string",
@@ -316,16 +353,27 @@ def oracle_sql() -> dict[str, str]:
         "total_por_ativo_tarde": on_chosen(total_part("futuros_tarde")),
         "total_por_ativo_x_salada": on_chosen(total_part("x_salada")),
     }
+    one["scorecards_todas"] = on_chosen(keyed_cards((*FIVE, "abertura_futuros_ex_ccm")))
+    one["acumulado_fracionado"] = on_chosen(
+        f"SELECT data, ROUND(liquido, 9) AS liquido, ROUND(acumulado, 9) AS acumulado FROM ({FRACTIONAL}) f"
+    )
+    one["running_abril"] = on_chosen(CUMULATIVE, APRIL, rooted=False)
+    one["csv_messy"] = on_raw(
+        "SELECT event_id, data, CAST(data AS VARCHAR) || ' ' || LEFT(hora, 5) || ':00' AS datahora, codigo, "
+        "quantidade, liquido, 'lado \"' || lado || '\", ' || hora AS nota FROM raw"
+    )
     rooted_x = f"t_root AS (SELECT * REPLACE ({ROOT} AS codigo) FROM t)"
     one["scorecard_abril_por_contrato"] = (
         f"WITH {RAW}, {CLOSED}, t AS (SELECT * FROM closed WHERE {APRIL}), {rooted_x} "
         f"{all_cards(rooted=False)}"
     )
+    in_month = f"WITH {RAW}, {CLOSED}, t AS (SELECT * FROM closed WHERE {APRIL}), {rooted_x} "
+    one["winners_abril"] = in_month + numbered(month_part(winners_part), FIVE)
+    one["losers_abril"] = in_month + numbered(month_part(losers_part), FIVE)
+    one["total_operador_abril"] = in_month + numbered(month_part(trader_part), FIVE)
     for key, strategy in (("abertura", "abertura_futuros"), ("tarde", "futuros_tarde")):
-        one[f"total_operador_{key}"] = on_chosen(
-            f"SELECT nome, codigo, {money()} AS liquido FROM t WHERE {WHERE[strategy]} "
-            "GROUP BY nome, codigo"
-        )
+        one[f"total_operador_{key}"] = on_chosen(trader_part(strategy))
+        one[f"total_operador_{key}_por_contrato"] = on_chosen(trader_part(strategy), rooted=False)
     rows = {f"rows_{k}": on_chosen(f"SELECT {TRADE_ROW} FROM t WHERE {w}") for k, w in WHERE.items()}
     cards = {f"scorecard_{k}": on_chosen(card(k)) for k in WHERE if k != "milho"}
     return {**one, **rows, **cards}

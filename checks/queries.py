@@ -80,14 +80,26 @@ def _by_ticker(strategy: st.Strategy) -> Query:
     return lambda spark, folder: strategy_page(trades(spark, folder), strategy).by_ticker
 
 
-def _by_trader(strategy: st.Strategy) -> Query:
+def _by_trader(strategy: st.Strategy, root: bool = True) -> Query:
     def query(spark, folder):
         dated = selection.date_range(trades(spark, folder))
-        return measures.total_by_trader(dated, strategy)
+        return measures.total_by_trader(dated, strategy, root)
 
     return query
 
 
+def _month_summary(spark, folder) -> DataFrame:
+    chosen = selection.month_filter(trades(spark, folder), MONTH)
+    return measures.per_strategy(chosen, CARDS, root=False)
+
+
+def fractional_running(spark, folder):
+    """Amounts far below a cent add up like any others."""
+    tiny = trades(spark, folder).withColumn("liquido", F.expr("liquido * 1e-6D"))
+    rounded = [F.round(c, 9).alias(c) for c in ("liquido", "acumulado")]
+    return series.daily_cumulative(tiny).select("data", *rounded)
+
+
 def _summary(spark, folder, strategies) -> DataFrame:
     dated = selection.date_range(trades(spark, folder))
     return measures.per_strategy(dated, strategies)
@@ -133,7 +145,7 @@ def as_export(df: DataFrame) -> DataFrame:
     """A ledger with the headers of an export, a combined time and an accented column."""
     return df.selectExpr(
         *[f"{c} AS {header}" for c, header in EXPORT_HEADERS.items()],
-        "CONCAT_WS(' ', CAST(data AS STRING), hora) AS Datahora",
+        "CONCAT(CAST(data AS STRING), ' ', hora) AS Datahora",
         "CONCAT('Operação de ', lado) AS `Descrição-Operação`",
     )
 
@@ -149,6 +161,30 @@ def csv_roundtrip(spark, folder):
     )
 
 
+def csv_messy(spark, folder):
+    """An export with missing tokens, quotes and commas, month-first dates and times to the minute."""
+    path = scratch_path(spark, "messy")
+    written = ledger(spark, folder).selectExpr(
+        "event_id AS EventId",
+        "DATE_FORMAT(data, 'M/d/yyyy') AS Data",
+        "CONCAT(DATE_FORMAT(data, 'M/d/yyyy'), ' ', LTRIM('0', LEFT(hora, 5))) AS Datahora",
+        "COALESCE(codigo, '#N/A') AS Codigo",
+        "CONCAT(quantidade, '.0') AS Quantidade",
+        "COALESCE(CAST(liquido AS STRING), 'N/A') AS Liquido",
+        "CONCAT('lado \"', lado, '\", ', hora) AS `Nota Livre`",
+    )
+    write_export(written, path)
+    return read_export(spark, path).selectExpr(
+        "CAST(event_id AS BIGINT) AS event_id",
+        "data",
+        "CAST(datahora AS STRING) AS datahora",
+        "codigo",
+        "quantidade",
+        "liquido",
+        "`nota livre` AS nota",
+    )
+
+
 def header_normalisation(spark, folder):
     return snake_case_all(as_export(ledger(spark, folder)))
 
@@ -205,18 +241,24 @@ def queries() -> dict[str, Query]:
         ),
         "losers_max": lambda s, f: measures.losers(_summary(s, f, SHARE_CARDS), SHARE_CARDS),
         "mean_value_per_contract": lambda s, f: comparable(
-            measures.mean_value_per_contract(_summary(s, f, CONTRACT_CARDS)).orderBy(
-                "ordem", "codigo"
-            )
+            measures.mean_value_per_contract(_summary(s, f, CONTRACT_CARDS))
         ),
         "mean_value_per_share": lambda s, f: comparable(
-            measures.mean_value_per_share(_summary(s, f, SHARE_CARDS)).orderBy(
-                "ordem", F.desc(st.PER_SHARE), "codigo"
-            )
+            measures.mean_value_per_share(_summary(s, f, SHARE_CARDS))
+        ),
+        "mean_duration": lambda s, f: measures.mean_duration(_summary(s, f, CARDS), CARDS),
+        # the month, contract months kept apart
+        "winners_abril": lambda s, f: measures.winners(_month_summary(s, f), CARDS),
+        "losers_abril": lambda s, f: measures.losers(_month_summary(s, f), CARDS),
+        "running_abril": lambda s, f: month_report(trades(s, f), MONTH).running,
+        "total_operador_abril": lambda s, f: month_report(trades(s, f), MONTH).by_trader,
+        "total_operador_abertura_por_contrato": _by_trader(st.ABERTURA_FUTUROS, root=False),
+        "total_operador_tarde_por_contrato": _by_trader(st.FUTUROS_TARDE, root=False),
+        # both openings beside each other
+        "scorecards_todas": lambda s, f: comparable(
+            measures.scorecards(selection.date_range(trades(s, f)), st.EVERY, with_key=True)
         ),
-        "mean_duration": lambda s, f: measures.mean_duration(
-            _summary(s, f, CARDS), CARDS
-        ).orderBy("ordem", F.desc("duracao"), "codigo"),
+        "acumulado_fracionado": fractional_running,
         "scorecards": lambda s, f: comparable(
             measures.scorecards(selection.date_range(trades(s, f)))
         ),
@@ -251,6 +293,7 @@ def queries() -> dict[str, Query]:
         "ledger_head": lambda s, f: profile.head(ledger(s, f), order_by="event_id"),
         # storage
         "csv_roundtrip": csv_roundtrip,
+        "csv_messy": csv_messy,
         "header_normalisation": header_normalisation,
         "parquet_ledger": parquet_ledger,
     }

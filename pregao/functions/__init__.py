@@ -8,6 +8,7 @@ from pregao.functions.numbers import (
     fixed_point,
     from_fixed_point,
     money_decimals,
+    money_sum,
     nan_to_null,
     round2,
 )
@@ -30,6 +31,7 @@ __all__ = [
     "from_fixed_point",
     "in_families",
     "money_decimals",
+    "money_sum",
     "nan_to_null",
     "round2",
     "snake_case",

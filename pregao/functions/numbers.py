@@ -9,12 +9,16 @@ MONEY_DECIMALS = 4
 
 
 def money_decimals(df: DataFrame) -> int:
-    """Decimals kept of every amount in a sum, a session setting.
+    """Decimals of every amount that are summed exactly, a session setting.
 
-    The default holds sums up to 9e14; amounts with more decimals than the
-    setting are rounded to it, trade by trade.
+    The default holds sums up to 9e14. What an amount has beyond these decimals
+    is summed as well, as a double. Overflow is noticed in ANSI mode only, so
+    another mode is refused.
     """
-    return int(df.sparkSession.conf.get(MONEY_DECIMALS_SETTING, str(MONEY_DECIMALS)))
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.ansi.enabled", "true").lower() != "true":
+        raise ValueError("sums of money need spark.sql.ansi.enabled")
+    return int(conf.get(MONEY_DECIMALS_SETTING, str(MONEY_DECIMALS)))
 
 
 def round2(x: str) -> str:
@@ -41,3 +45,14 @@ def from_fixed_point(total: str, decimals: int = MONEY_DECIMALS) -> str:
     """A summed ``fixed_point`` as a DECIMAL, wide enough to be summed again."""
     unit = f"0.{'1'.zfill(decimals)}BD" if decimals else "1BD"
     return f"CAST(COALESCE({total}, 0) AS DECIMAL(20,0)) * {unit}"
+
+
+def money_sum(x: str, decimals: int = MONEY_DECIMALS, test: str = "") -> str:
+    """The sum of amounts as a DECIMAL, over the rows of a ``FILTER`` clause if given.
+
+    What rounding to the fixed decimals takes from an amount is summed beside
+    it: zero for money that has no more decimals, so such sums stay exact.
+    """
+    exact = from_fixed_point(f"SUM({fixed_point(x, decimals)}) {test}", decimals)
+    rest = f"COALESCE(SUM(({x}) - RINT(({x}) * 1e{decimals}) / 1e{decimals}) {test}, 0D)"
+    return f"CAST({exact} + CAST({rest} AS DECIMAL(38,12)) AS DECIMAL(38,12))"

@@ -11,14 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pregao.functions import (
-    fixed_point,
-    from_fixed_point,
     money_decimals,
+    money_sum,
     round2,
     three_letter_root,
     ticker_root,
@@ -30,14 +29,14 @@ from pregao.operators.strategies import (
     PER_SHARE,
     ROUNDED,
     SUM_OF_ROUNDED,
+    Strategies,
     Strategy,
+    distinct,
     fan_out,
-    tag_bits,
+    tags,
     with_scorecard,
 )
 
-Strategies = tuple[Strategy, ...]
-
 _SUMS = (
     "ganhos", "perdas", "qtd_melhores", "qtd_piores", "contrato_soma", "contrato_qtd",
     "acao_soma", "acao_qtd", "duracao_soma", "duracao_qtd",
@@ -46,23 +45,22 @@ _MAXIMA = ("melhor", "perda_max")
 _MINIMA = ("perda_min",)
 
 
-def _aggregate(df: DataFrame, keys: Iterable[str], measures: dict[str, str]) -> DataFrame:
-    keyed = [F.expr(key) for key in keys]
+def _aggregate(df: DataFrame, keys: Iterable[str | Column], measures: dict[str, str]) -> DataFrame:
+    keyed = [F.expr(key) if isinstance(key, str) else key for key in keys]
     return df.groupBy(*keyed).agg(*[F.expr(m).alias(name) for name, m in measures.items()])
 
 
-def summarise(trades: DataFrame, *keys: str) -> DataFrame:
+def summarise(trades: DataFrame, *keys: str | Column) -> DataFrame:
     """All partial measures of cleaned trades, per ``keys``."""
     decimals = money_decimals(trades)
-    amount = fixed_point("liquido", decimals)
     if isinstance(trades.schema["duracao"].dataType, T.IntegralType):
         duration = "CAST(COALESCE(SUM(duracao), 0) AS DECIMAL(20,0))"
     else:
-        duration = from_fixed_point(f"SUM({fixed_point('duracao', decimals)})", decimals)
+        duration = money_sum("duracao", decimals)
     win, loss = "FILTER (WHERE liquido > 0)", "FILTER (WHERE liquido < 0)"
     measures = {
-        "ganhos": from_fixed_point(f"SUM({amount}) {win}", decimals),
-        "perdas": from_fixed_point(f"SUM({amount}) {loss}", decimals),
+        "ganhos": money_sum("liquido", decimals, win),
+        "perdas": money_sum("liquido", decimals, loss),
         "qtd_melhores": f"COUNT(*) {win}",
         "qtd_piores": f"COUNT(*) {loss}",
         "melhor": f"MAX(liquido) {win}",
@@ -91,36 +89,38 @@ def daily_summary(trades: DataFrame, strategies: Strategies = EVERY) -> DataFram
     strategies without another pass over the trades; trades in no strategy are
     in it for the daily totals.
     """
-    return summarise(trades, "data", "codigo", f"{tag_bits(strategies)} AS tags")
+    return summarise(trades, "data", "codigo", tags(strategies))
 
 
 def per_strategy(
     trades: DataFrame, strategies: Strategies = OVERVIEW, root: bool = True
 ) -> DataFrame:
     """The summary per strategy and ticker, for all strategies in one pass."""
-    summary = summarise(trades, "codigo", f"{tag_bits(strategies)} AS tags")
+    summary = summarise(trades, "codigo", tags(strategies))
     return per_strategy_of_summary(summary, strategies, root)
 
 
 def per_strategy_of_summary(
     summary: DataFrame, strategies: Strategies = OVERVIEW, root: bool = True
 ) -> DataFrame:
-    ticker = ticker_root()
-    if not root:
-        rooted = _within(s for s in strategies if s.always_rooted)
-        ticker = f"IF({rooted}, {three_letter_root()}, codigo)"
-    return merge(fan_out(summary, strategies), "ordem", f"{ticker} AS codigo")
+    ticker = _ticker_within(strategies, root)
+    return merge(fan_out(summary, strategies), "chave", "ordem", f"{ticker} AS codigo")
 
 
 def of_strategy(trades: DataFrame, strategy: Strategy, root: bool = True) -> DataFrame:
     """The summary per ticker of one strategy.
 
-    Tickers are rooted in the grouping key, after the filter, so the filter on
-    the stored ticker and time reaches the scan.
+    Tickers are rooted after the filter, so the filter on the stored ticker and
+    time reaches the scan.
     """
     chosen = trades.where(strategy.matches())
-    ticker = f"{_ticker(strategy, root)} AS codigo"
-    return summarise(chosen, ticker).selectExpr(f"{strategy.ordem} AS ordem", "*")
+    return of_strategy_summary(summarise(chosen, "codigo"), strategy, root)
+
+
+def of_strategy_summary(summary: DataFrame, strategy: Strategy, root: bool = True) -> DataFrame:
+    """The summary per ticker, given one of only this strategy's trades by stored ticker and more."""
+    per_ticker = merge(summary, f"{_ticker(strategy, root)} AS codigo")
+    return per_ticker.selectExpr(f"'{strategy.key}' AS chave", f"{strategy.ordem} AS ordem", "*")
 
 
 def _ticker(strategy: Strategy, root: bool) -> str:
@@ -129,10 +129,17 @@ def _ticker(strategy: Strategy, root: bool) -> str:
     return three_letter_root() if strategy.always_rooted else "codigo"
 
 
+def _ticker_within(strategies: Strategies, root: bool) -> str:
+    if root:
+        return ticker_root()
+    rooted = _within(s for s in strategies if s.always_rooted)
+    return f"IF({rooted}, {three_letter_root()}, codigo)"
+
+
 def _within(strategies: Iterable[Strategy]) -> str:
     """Whether the strategy of a row is one of these."""
-    listed = ", ".join(str(s.ordem) for s in strategies)
-    return f"ordem IN ({listed})" if listed else "FALSE"
+    listed = ", ".join(f"'{s.key}'" for s in strategies)
+    return f"chave IN ({listed})" if listed else "FALSE"
 
 
 # --- tables per strategy and ticker -------------------------------------------------------
@@ -189,50 +196,61 @@ def _duration_column(strategies: Strategies) -> str:
     return _shown(strategies, "duracao", _mean("duracao_soma", "duracao_qtd"))
 
 
-def _part(summary: DataFrame, columns: Iterable[str], test: str = "TRUE") -> DataFrame:
+def _part(
+    summary: DataFrame, columns: Iterable[str], test: str = "TRUE", with_key: bool = False
+) -> DataFrame:
     kept = summary.where(f"codigo IS NOT NULL AND {test}")
-    return kept.selectExpr("ordem", "codigo", *columns)
+    return kept.selectExpr(*["chave"] * with_key, "ordem", "codigo", *columns)
 
 
 def total_by_ticker(summary: DataFrame, strategies: Strategies) -> DataFrame:
-    return _part(summary, [_total_column(strategies)])
+    return _part(summary, [_total_column(distinct(strategies, "ordem"))])
 
 
 def winners(summary: DataFrame, strategies: Strategies) -> DataFrame:
     """Mean, count and best of the winning trades; tickers without one are absent."""
-    return _part(summary, _win_columns(strategies), "qtd_melhores > 0")
+    return _part(summary, _win_columns(distinct(strategies, "ordem")), "qtd_melhores > 0")
 
 
 def losers(summary: DataFrame, strategies: Strategies) -> DataFrame:
     """Mean, count and worst of the losing trades; tickers without one are absent."""
-    return _part(summary, _loss_columns(strategies), "qtd_piores > 0")
+    return _part(summary, _loss_columns(distinct(strategies, "ordem")), "qtd_piores > 0")
 
 
 def mean_value_per_contract(summary: DataFrame) -> DataFrame:
-    return _part(summary, [f"{_UNITS[PER_CONTRACT]} AS {PER_CONTRACT}"])
+    """Mean result per contract, by ticker."""
+    means = _part(summary, [f"{_UNITS[PER_CONTRACT]} AS {PER_CONTRACT}"])
+    return means.orderBy("ordem", "codigo")
 
 
 def mean_value_per_share(summary: DataFrame) -> DataFrame:
-    """Mean return per share traded, in percent."""
-    return _part(summary, [f"{_UNITS[PER_SHARE]} AS {PER_SHARE}"])
+    """Mean return per share traded, in percent, best first."""
+    means = _part(summary, [f"{_UNITS[PER_SHARE]} AS {PER_SHARE}"])
+    return means.orderBy("ordem", F.desc(PER_SHARE), "codigo")
 
 
 def mean_duration(summary: DataFrame, strategies: Strategies) -> DataFrame:
-    return _part(summary, [_duration_column(strategies)])
+    """Mean duration, longest first."""
+    means = _part(summary, [_duration_column(distinct(strategies, "ordem"))])
+    return means.orderBy("ordem", F.desc("duracao"), "codigo")
 
 
 # --- scorecards ---------------------------------------------------------------------------
 
 
 def scorecards_of_summary(
-    summary: DataFrame, strategies: Strategies, require_both_sides: bool = True
+    summary: DataFrame,
+    strategies: Strategies,
+    require_both_sides: bool = True,
+    with_key: bool = False,
 ) -> DataFrame:
     """Scorecards of every strategy in the summary, in their display order.
 
     A ticker needs a win and a loss to be listed, unless told otherwise. With
     strategies of both kinds the per-unit column that does not apply is NULL.
+    Strategies that share an ``ordem`` need ``with_key``, a column that tells them apart.
     """
-    cards = with_scorecard(strategies)
+    cards = distinct(with_scorecard(strategies), *[] if with_key else ["ordem"])
     tests = [_within(cards)]
     if require_both_sides:
         tests.append("qtd_melhores > 0 AND qtd_piores > 0")
@@ -248,8 +266,10 @@ def scorecards_of_summary(
             f"IF({_within(s for s in cards if s.by_total)}, -{_TOTAL}, NULL) AS _place",
         ],
         " AND ".join(tests),
+        with_key,
     )
-    return listed.orderBy("ordem", "_place", "codigo").drop("_place")
+    order = ["ordem", *["chave"] * with_key, "_place", "codigo"]
+    return listed.orderBy(*order).drop("_place")
 
 
 def _unit_columns(cards: Strategies) -> list[str]:
@@ -272,10 +292,14 @@ def scorecard(
 
 
 def scorecards(
-    trades: DataFrame, strategies: Strategies = OVERVIEW, root: bool = True
+    trades: DataFrame,
+    strategies: Strategies = OVERVIEW,
+    root: bool = True,
+    with_key: bool = False,
 ) -> DataFrame:
     """The scorecards of all strategies from one pass over the trades."""
-    return scorecards_of_summary(per_strategy(trades, strategies, root), strategies)
+    summary = per_strategy(trades, strategies, root)
+    return scorecards_of_summary(summary, strategies, with_key=with_key)
 
 
 def scorecard_join(
@@ -297,9 +321,28 @@ def scorecard_join(
 
 def total_by_trader(trades: DataFrame, strategy: Strategy, root: bool = True) -> DataFrame:
     """Net result per trader and ticker within a strategy."""
-    chosen = trades.where(strategy.matches()).where("nome IS NOT NULL AND codigo IS NOT NULL")
-    summary = summarise(chosen, "nome", f"{_ticker(strategy, root)} AS codigo")
-    return summary.selectExpr("nome", "codigo", f"{_TOTAL} AS liquido")
+    summary = summarise(trades.where(strategy.matches()), "nome", "codigo")
+    return total_by_trader_of_summary(summary, strategy, root)
+
+
+def total_by_trader_of_summary(
+    summary: DataFrame, strategy: Strategy, root: bool = True
+) -> DataFrame:
+    """The same, given a summary of only this strategy's trades by trader, stored ticker and more."""
+    named = summary.where("nome IS NOT NULL AND codigo IS NOT NULL")
+    totals = merge(named, "nome", f"{_ticker(strategy, root)} AS codigo")
+    return totals.selectExpr("nome", "codigo", f"{_TOTAL} AS liquido").orderBy("nome", "codigo")
+
+
+def totals_by_trader_of_summary(
+    summary: DataFrame, strategies: Strategies, root: bool = True
+) -> DataFrame:
+    """Net result per strategy, trader and ticker, from a summary that tags strategies."""
+    named = summary.where("nome IS NOT NULL AND codigo IS NOT NULL")
+    fanned = fan_out(named, distinct(strategies, "ordem"))
+    totals = merge(fanned, "ordem", "nome", f"{_ticker_within(strategies, root)} AS codigo")
+    rows = totals.selectExpr("ordem", "nome", "codigo", f"{_TOTAL} AS liquido")
+    return rows.orderBy("ordem", "nome", "codigo")
 
 
 def strategy_totals(
@@ -323,6 +366,7 @@ def strategy_totals_of_summary(
     a list of strategies is needed.
     """
     per_ticker = f"CAST({round2(_TOTAL)} AS DECIMAL(28,2))"
+    distinct(strategies, "ordem")
     sums = {}
     for s in strategies:
         amount = per_ticker if s.total == SUM_OF_ROUNDED else "ganhos + perdas"

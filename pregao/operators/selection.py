@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 
 from pyspark.sql import DataFrame
@@ -40,9 +41,14 @@ def _bound(value: dt.date | str) -> str:
 
 
 def month_filter(df: DataFrame, month: int, year: int | None = None) -> DataFrame:
-    """Trades of a calendar month, of any year unless one is given."""
-    chosen = df.where(f"MONTH(data) = {month:d}")
-    return chosen if year is None else chosen.where(f"YEAR(data) = {year:d}")
+    """Trades of a calendar month, of any year unless one is given.
+
+    With a year it is a date range, which skips row groups as well as folders.
+    """
+    if year is None:
+        return df.where(f"MONTH(data) = {month:d}")
+    last = calendar.monthrange(year, month)[1]
+    return date_range(df, dt.date(year, month, 1), dt.date(year, month, last))
 
 
 def root_tickers(df: DataFrame) -> DataFrame:

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pregao.functions import fixed_point, from_fixed_point, money_decimals
+from pregao.functions import money_decimals, money_sum
 
 
 def daily_totals(trades: DataFrame) -> DataFrame:
     """Net result per day over all trades, in a strategy or not."""
-    decimals = money_decimals(trades)
-    total = f"SUM({fixed_point('liquido', decimals)})"
-    return _per_day(trades, from_fixed_point(total, decimals))
+    return _per_day(trades, money_sum("liquido", money_decimals(trades)))
 
 
 def daily_totals_of_summary(summary: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from pregao.functions import CORN, DERIVATIVES, FUTURES, in_families
 
@@ -35,12 +36,6 @@ class Strategy:
     """Scorecard order: best total first instead of by ticker."""
     always_rooted: bool = False
     """Contract months are folded even where the report keeps them apart."""
-    tag: int | None = None
-    """Position in a trade's tag bits; ``ordem`` unless another strategy has that."""
-
-    @property
-    def bit(self) -> int:
-        return 1 << (self.ordem if self.tag is None else self.tag)
 
     def matches(self) -> str:
         """Row predicate. ``hora`` is zero-padded text, so text order is time order."""
@@ -93,7 +88,7 @@ X_SALADA = Strategy(
     unit=PER_CONTRACT, always_rooted=True,
 )
 # The strategy pages leave corn out of the opening; the overview does not.
-ABERTURA_FUTUROS_EX_CCM = replace(ABERTURA_FUTUROS, without=CORN, tag=6)
+ABERTURA_FUTUROS_EX_CCM = replace(ABERTURA_FUTUROS, key="abertura_futuros_ex_ccm", without=CORN)
 
 OVERVIEW = (ABERTURA_FUTUROS, FUTUROS_TARDE, ABERTURA_ACOES, LEILAO, MILHO, X_SALADA)
 PAGES = (ABERTURA_FUTUROS_EX_CCM, *OVERVIEW[1:])
@@ -101,10 +96,6 @@ EVERY = (*OVERVIEW, ABERTURA_FUTUROS_EX_CCM)
 WITHOUT_CORN = tuple(s for s in OVERVIEW if s is not MILHO)
 
 
-def strategy_set(opening_excludes_ccm: bool = False) -> tuple[Strategy, ...]:
-    return PAGES if opening_excludes_ccm else OVERVIEW
-
-
 def with_scorecard(strategies: tuple[Strategy, ...]) -> tuple[Strategy, ...]:
     return tuple(s for s in strategies if s.unit)
 
@@ -114,23 +105,53 @@ def select_strategy(df: DataFrame, strategy: Strategy) -> DataFrame:
     return df.where(strategy.matches())
 
 
-def tag_bits(strategies: tuple[Strategy, ...]) -> str:
-    """All strategies of a trade as one integer with a bit per strategy.
+Strategies = tuple[Strategy, ...]
+# Metadata of a tag column: the tests its bits stand for, lowest first.
+_TESTS = "strategy_tests"
+
+
+def distinct(strategies: Strategies, *attributes: str) -> Strategies:
+    """The same strategies, or an error if two of them share one of these attributes."""
+    for name in ("key", *attributes):
+        values = [getattr(s, name) for s in strategies]
+        if len(set(values)) < len(values):
+            raise ValueError(f"strategies that share a {name} cannot be told apart: {values}")
+    return strategies
+
+
+def tags(strategies: Strategies) -> Column:
+    """All strategies of a trade as one integer, ``tags``, with a bit per strategy.
 
     Strategies overlap, and a bit set lets a trade belong to several without
-    being copied: rows are aggregated first and fanned out afterwards.
+    being copied: rows are aggregated first and fanned out afterwards. The column
+    carries which test each bit stands for, also into a stored table.
     """
-    return " + ".join(f"IF({s.matches()}, {s.bit}, 0)" for s in strategies)
+    tests = [s.matches() for s in distinct(strategies)]
+    bits = " | ".join(f"IF({test}, {1 << i}, 0)" for i, test in enumerate(tests)) or "0"
+    return F.expr(bits).alias("tags", metadata={_TESTS: tests})
 
 
-def fan_out(df: DataFrame, strategies: tuple[Strategy, ...], bits: str = "tags") -> DataFrame:
-    """One row per strategy in the bit set, as column ``ordem``."""
-    slots = ", ".join(f"IF({bits} & {s.bit} != 0, {s.ordem}, NULL)" for s in strategies)
-    others = [c for c in df.columns if c != bits]
-    fanned = df.selectExpr(*others, f"EXPLODE(ARRAY({slots})) AS ordem")
-    return fanned.where("ordem IS NOT NULL")
+def fan_out(df: DataFrame, strategies: Strategies) -> DataFrame:
+    """One row per strategy in the bit set ``tags``, as columns ``chave`` and ``ordem``.
 
-
-def strategy_tags(df: DataFrame, strategies: tuple[Strategy, ...] = OVERVIEW) -> DataFrame:
+    Strategies that the bits do not stand for are refused.
+    """
+    known = df.schema["tags"].metadata.get(_TESTS)
+    if known is None:
+        raise ValueError("the tags column does not say which strategies it stands for")
+    unknown = [s.key for s in distinct(strategies) if s.matches() not in known]
+    if unknown:
+        raise ValueError(f"the summary was not made for these strategies: {unknown}")
+    slots = ", ".join(
+        f"IF(tags & {1 << known.index(s.matches())} != 0, "
+        f"STRUCT('{s.key}' AS chave, {s.ordem} AS ordem), NULL)"
+        for s in strategies
+    )
+    others = [c for c in df.columns if c != "tags"]
+    fanned = df.selectExpr(*others, f"EXPLODE(ARRAY({slots})) AS s").where("s IS NOT NULL")
+    return fanned.selectExpr("s.chave", "s.ordem", *others)
+
+
+def strategy_tags(df: DataFrame, strategies: Strategies = OVERVIEW) -> DataFrame:
     """One row per trade and strategy it belongs to."""
-    return fan_out(df.selectExpr("*", f"{tag_bits(strategies)} AS tags"), strategies)
+    return fan_out(df.select("*", tags(strategies)), strategies)

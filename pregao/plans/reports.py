@@ -1,4 +1,9 @@
-"""Reports over cleaned trades. Every field is a lazy DataFrame; only what is read runs."""
+"""Reports over cleaned trades.
+
+Each report reads the trades once: it writes a summary with a row per day, trader, ticker
+and set of strategies, as far as its tables need them, and every table is a lazy DataFrame
+over that. ``session.release`` removes the summary behind a table that is no longer needed.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +14,9 @@ from pyspark.sql import DataFrame
 from pregao.functions import currency_text
 from pregao.operators import measures as m
 from pregao.operators.selection import DateBound, date_range, month_filter, root_tickers
-from pregao.operators.series import daily_cumulative, daily_totals_of_summary, running_total
-from pregao.operators.strategies import OVERVIEW, WITHOUT_CORN, Strategy
+from pregao.operators.series import daily_totals_of_summary, running_total
+from pregao.operators.strategies import OVERVIEW, WITHOUT_CORN, Strategy, tags
+from pregao.session import materialise
 
 
 class Overview(NamedTuple):
@@ -22,6 +28,7 @@ class Overview(NamedTuple):
 class StrategyPage(NamedTuple):
     headline: DataFrame
     by_ticker: DataFrame
+    by_trader: DataFrame
     scorecard: DataFrame
 
 
@@ -33,6 +40,8 @@ class RangeReport(NamedTuple):
 class MonthReport(NamedTuple):
     totals: DataFrame
     running: DataFrame
+    by_ticker: DataFrame
+    by_trader: DataFrame
     scorecards: DataFrame
 
 
@@ -51,12 +60,8 @@ def overview(
 ) -> Overview:
     """Totals and scorecards of all strategies, and the running total of the room."""
     chosen = date_range(trades, start, end)
-    summary = m.per_strategy(chosen, strategies)
-    return Overview(
-        m.strategy_totals_of_summary(summary, strategies),
-        daily_cumulative(chosen),
-        m.scorecards_of_summary(summary, strategies),
-    )
+    summary = materialise(m.daily_summary(chosen, strategies), "overview")
+    return overview_of_summary(summary, strategies=strategies)
 
 
 def overview_of_summary(
@@ -84,13 +89,15 @@ def headline(totals: DataFrame) -> DataFrame:
 def strategy_page(
     trades: DataFrame, strategy: Strategy, start: DateBound = None, end: DateBound = None
 ) -> StrategyPage:
-    """Headline, totals per ticker and scorecard of one strategy."""
-    chosen = date_range(trades, start, end)
-    summary = m.of_strategy(chosen, strategy)
+    """Headline, totals per ticker and trader, and scorecard of one strategy."""
+    chosen = date_range(trades, start, end).where(strategy.matches())
+    per_trader = materialise(m.summarise(chosen, "nome", "codigo"), "page")
+    summary = m.of_strategy_summary(per_trader, strategy)
     return StrategyPage(
         headline(m.strategy_totals_of_summary(summary, (strategy,))),
         m.total_by_ticker(summary, (strategy,)).drop("ordem").orderBy("codigo"),
-        m.scorecard(chosen, strategy),
+        m.total_by_trader_of_summary(per_trader, strategy),
+        m.scorecards_of_summary(summary, (strategy,)).drop("ordem"),
     )
 
 
@@ -100,7 +107,8 @@ def range_report(trades: DataFrame, start: DateBound, end: DateBound) -> RangeRe
     A date left blank selects nothing.
     """
     chosen = date_range(trades, start, end)
-    summary = m.per_strategy(chosen, WITHOUT_CORN)
+    tagged = m.summarise(chosen, "codigo", tags(WITHOUT_CORN))
+    summary = m.per_strategy_of_summary(materialise(tagged, "range"), WITHOUT_CORN)
     return RangeReport(
         m.strategy_totals_of_summary(summary, WITHOUT_CORN, all_rounded=True),
         m.scorecards_of_summary(summary, WITHOUT_CORN),
@@ -110,10 +118,14 @@ def range_report(trades: DataFrame, start: DateBound, end: DateBound) -> RangeRe
 def month_report(trades: DataFrame, month: int, year: int | None = None) -> MonthReport:
     """The report of a calendar month, with contract months kept apart and without corn."""
     chosen = month_filter(trades, month, year)
-    summary = m.per_strategy(chosen, WITHOUT_CORN, root=False)
+    tagged = m.summarise(chosen, "data", "nome", "codigo", tags(WITHOUT_CORN))
+    kept = materialise(tagged, "month")
+    summary = m.per_strategy_of_summary(kept, WITHOUT_CORN, root=False)
     return MonthReport(
         m.strategy_totals_of_summary(summary, WITHOUT_CORN),
-        daily_cumulative(chosen),
+        running_total(daily_totals_of_summary(kept)),
+        m.total_by_ticker(summary, WITHOUT_CORN).orderBy("ordem", "codigo"),
+        m.totals_by_trader_of_summary(kept, WITHOUT_CORN, root=False),
         m.scorecards_of_summary(summary, WITHOUT_CORN),
     )
 

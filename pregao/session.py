@@ -36,18 +36,27 @@ def build_session(master: str | None = None, app: str = "pregao", **conf: str) -
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may go without the setting; a machine-local folder on a
-    cluster would lose rows with the executor that wrote them.
+    Only a local master may go without the setting or name a machine-local folder,
+    which on a cluster would lose rows with the executor that wrote them. A cluster
+    whose machines mount one file system under the same path says so by ``file:``.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
+    local = spark.conf.get("spark.master", "").split("[")[0] == "local"
+    if shared and (local or ":" in shared.split("/")[0]):
         return shared.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if shared and _default_scheme(spark) != "file":
+        return shared.rstrip("/")
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return _local_scratch()
 
 
+def _default_scheme(spark: SparkSession) -> str:
+    """Scheme of paths that name none."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return conf.get("fs.defaultFS", "file:///").split(":")[0]
+
+
 @functools.cache
 def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="pregao-")
@@ -67,3 +76,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> int:
+    """Delete the materialised tables that ``df`` reads; how many there were.
+
+    For the owner of a result that will not be read again. Tables elsewhere are
+    never touched.
+    """
+    spark = df.sparkSession
+    own = f"{scratch_root(spark)}/pregao/".split(":", 1)[-1].replace("//", "/")
+    tables = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    found = [t for t in tables if own in t.replace("//", "/")]
+    for table in found:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(found)

@@ -31,6 +31,10 @@ COLUMN_TYPES = {
 }
 
 
+# Holds the whole record where it has more or fewer fields than the header.
+_RECORD = "_record"
+
+
 def read_export(
     spark: SparkSession,
     path: str | list[str],
@@ -44,14 +48,20 @@ def read_export(
     """Read one or many exports with a header line into a typed ledger.
 
     Every field is read as text (no inference pass over the data), missing
-    tokens become NULL, and the known columns are cast; a value that does not
-    parse stops the job. Dates are ISO, or month first when written with
-    slashes, unless a format is given. ``types`` overrides column types, for
-    instance ``{"quantidade": "double"}``. Quoted line breaks need
-    ``multi_line``, which stops Spark from splitting files.
+    tokens become NULL, and the known columns are cast. Short records end in
+    NULLs. A record with more fields than the header, a file with another
+    header, or a value that does not parse stops the job; the last is noticed
+    only when the value's column is computed, so ``count`` alone passes over it.
+
+    Dates are ISO, or month first when written with slashes, unless a format is
+    given. Whole numbers may be written ``100.0``. ``types`` overrides column
+    types, for instance ``{"quantidade": "double"}``. Quoted line breaks need
+    ``multi_line``, which stops Spark from splitting files. Headers that are blank
+    or equal up to case are taken by position, from a single file only.
     """
     options = {"encoding": encoding, "escape": '"', "multiLine": multi_line}
-    first = spark.read.options(**options).csv(path).first()
+    files = spark.read.options(**options).csv(path)
+    first = files.first()
     if first is None:
         raise ValueError(f"no header line in {path}")
     headers = ["" if h is None else h for h in first]
@@ -60,22 +70,24 @@ def read_export(
     if repeated:
         raise ValueError(f"several headers give the same column: {repeated}")
 
-    # With distinct headers Spark checks each file's header line against the first
-    # one; headers equal up to case cannot be a schema and are taken by position.
+    # With distinct headers Spark checks each file's header line against the first one.
     distinct = len({h.lower() for h in headers}) == len(headers) and all(headers)
+    if not distinct and len(files.inputFiles()) > 1:
+        raise ValueError(f"headers that repeat or are blank cannot be checked over several files: {headers}")
     fields = headers if distinct else [f"c{i}" for i in range(len(headers))]
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
+    schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, _RECORD]])
     text = (
         spark.read.options(**options)
-        .options(header=True, enforceSchema=not distinct)
+        .options(header=True, enforceSchema=not distinct, columnPruning=False, columnNameOfCorruptRecord=_RECORD)
         .schema(schema)
         .csv(path)
-        .toDF(*[f"c{i}" for i in range(len(names))])
+        .toDF(*[f"c{i}" for i in range(len(names))], _RECORD)
+        .where(_no_surplus(len(names)))
     )
 
     wanted = {**COLUMN_TYPES, **(types or {})}
     formats = {"date": date_format, "timestamp_ntz": timestamp_format}
-    present = text.select(*[_present(c) for c in text.columns])
+    present = text.select(*[_present(c) for c in text.columns if c != _RECORD])
     columns = []
     for i, name in enumerate(names):
         field, kind = F.col(f"c{i}"), wanted.get(name)
@@ -84,6 +96,21 @@ def read_export(
     return present.select(*columns)
 
 
+def _no_surplus(fields: int) -> Column:
+    """True, or an error for a record that has more fields than the header.
+
+    Only records of another length than the header come with their text; their
+    commas are counted after blanking out quoted fields, empty surplus ones included.
+    """
+    bare = F.regexp_replace(F.col(_RECORD), r'(?s)(^|,)"(?:[^"]|"")*"(?=,|\r?\n?$)', "$1")
+    commas = F.length(bare) - F.length(F.translate(bare, ",", ""))
+    surplus = F.col(_RECORD).isNotNull() & (commas >= fields)
+    refused = F.raise_error(F.concat(F.lit(f"more than the {fields} fields of the header: "), F.col(_RECORD)))
+    # Always true; Spark does not answer queries that need nothing but the record.
+    read = F.length(F.coalesce(F.col("c0"), F.lit(""))) >= 0
+    return F.when(surplus, refused.cast("boolean")).otherwise(read)
+
+
 def _named(headers: list[str]) -> list[str]:
     """Give blank headers a name by position and number the repeats of a header."""
     seen: Counter[str] = Counter()
@@ -101,26 +128,36 @@ def _present(name: str) -> Column:
 
 def _parsed(field: Column, kind: str, given: str | None, header: str) -> Column:
     """The typed value; a text that is none stops the job, in ANSI mode or not."""
+    hint = ""
     if kind == "date":
-        value = _from_text(field, F.to_date, given, "M/d/yyyy", kind)
+        value = F.try_to_date(field, given) if given else _iso(field).try_cast(kind)
+        hint = "" if given else "; a date_format can be given"
     elif kind == "timestamp_ntz":
-        value = _from_text(field, _to_timestamp, given, "M/d/yyyy H:mm:ss", kind)
+        value = F.try_to_timestamp(field, F.lit(given)).cast(kind) if given else _iso(field).try_cast(kind)
+        hint = "" if given else "; a timestamp_format can be given"
+    elif kind == "bigint":
+        exact = field.try_cast("decimal(38,10)")
+        value = F.coalesce(field.try_cast(kind), F.when(exact == F.floor(exact), exact.cast(kind)))
     else:
         value = field.try_cast(kind)
-    refused = F.raise_error(F.concat(F.lit(f"{header}: not a {kind}: "), field)).cast(kind)
-    return F.coalesce(value, F.when(field.isNotNull(), refused))
-
-
-def _to_timestamp(field: Column, form: str) -> Column:
-    return F.to_timestamp_ntz(field, F.lit(form))
+    said = F.concat(F.lit(f"{header}: not a {kind}: "), field, F.lit(hint))
+    return F.coalesce(value, F.when(field.isNotNull(), F.raise_error(said).cast(kind)))
 
 
-def _from_text(field: Column, parse, given: str | None, month_first: str, kind: str) -> Column:
-    if given:
-        return parse(field, given)
-    return F.when(field.contains("/"), parse(field, month_first)).otherwise(field.try_cast(kind))
+def _iso(field: Column) -> Column:
+    """Month-first slashes as an ISO date, with the time of day, if any, to the second."""
+    parts = F.split(field, "[/ ]")
+    date = F.concat_ws("-", F.get(parts, F.lit(2)), F.lpad(F.get(parts, F.lit(0)), 2, "0"), F.lpad(F.get(parts, F.lit(1)), 2, "0"))
+    dashed = F.when(field.rlike(r"^\d{1,2}/\d{1,2}/\d{4}($| )"), F.concat_ws(" ", date, F.get(parts, F.lit(3)))).otherwise(field)
+    # A time of day without seconds has one colon.
+    return F.when(dashed.rlike(r"^[^:]*\d:\d{2}$"), F.concat(dashed, F.lit(":00"))).otherwise(dashed)
 
 
 def write_export(df: DataFrame, path: str, *, encoding: str = LATIN1, missing: str = "") -> None:
-    """Write a ledger as CSV files with a header line each."""
-    df.write.options(header=True, encoding=encoding, escape='"', nullValue=missing).csv(path)
+    """Write a ledger as CSV files with a header line each.
+
+    A character that the encoding does not have stops the job.
+    """
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    kept = {c: F.decode(F.encode(F.col(f"`{c}`"), encoding), encoding) for c in texts}
+    df.withColumns(kept).write.options(header=True, encoding=encoding, escape='"', nullValue=missing).csv(path)

@@ -1,4 +1,5 @@
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from ledgers import as_dicts, ledger
@@ -15,8 +16,10 @@ from pregao.plans import (
     overview,
     overview_of_summary,
     range_report,
+    reports,
     strategy_page,
 )
+from pregao.session import materialise
 
 
 def trades(spark, *rows):
@@ -219,7 +222,10 @@ def test_corn_is_the_difference_between_the_openings(sample):
     def total(strategies):
         return m.strategy_totals(sample, strategies).first()["resultado"]
 
-    corn = st.select_strategy(sample, st.ABERTURA_FUTUROS).where("codigo LIKE 'CCM%'")
+    # A trade without a ticker is not known to be no corn.
+    corn = st.select_strategy(sample, st.ABERTURA_FUTUROS).where(
+        "codigo LIKE 'CCM%' OR codigo IS NULL"
+    )
     assert total(st.OVERVIEW) - total(st.PAGES) == pytest.approx(
         corn.agg({"liquido": "sum"}).first()[0], abs=0.011
     )
@@ -259,7 +265,7 @@ def test_strategy_page(sample):
         assert page.scorecard.count() <= page.by_ticker.count()
 
 
-def test_one_scan_and_no_join_per_overview(sample, capsys):
+def test_scorecards_take_one_scan_and_no_join(sample, capsys):
     m.scorecards(sample).explain()
     plan = capsys.readouterr().out
     assert "Join" not in plan and "CartesianProduct" not in plan and "Python" not in plan
@@ -287,13 +293,99 @@ def test_display_title(sample):
 
 
 def test_amounts_with_many_decimals(spark):
-    rows = with_results("PETR4", *[0.000004] * 5)
-    assert as_dicts(m.strategy_totals(trades(spark, *rows)))[2]["resultado"] == 0.0
-    spark.conf.set("spark.pregao.moneyDecimals", "6")
+    df = trades(spark, *with_results("PETR4", 0.00004)).crossJoin(spark.range(1000)).drop("id")
+    assert as_dicts(m.strategy_totals(df))[2]["resultado"] == pytest.approx(0.04, rel=1e-9)
+    assert as_dicts(daily_cumulative(df))[0]["acumulado"] == pytest.approx(0.04, rel=1e-9)
+
+
+def test_sums_need_the_mode_that_notices_overflow(spark):
+    df = trades(spark, *with_results("PETR4", 9e14, 9e14, 9e14))
+    with pytest.raises(Exception, match="OVERFLOW"):
+        m.strategy_totals(df).collect()
+    spark.conf.set("spark.sql.ansi.enabled", "false")
     try:
-        assert as_dicts(m.strategy_totals(trades(spark, *rows)))[2]["resultado"] == 0.00002
+        with pytest.raises(ValueError, match="ansi"):
+            m.strategy_totals(df)
+        with pytest.raises(ValueError, match="ansi"):
+            daily_cumulative(df)
     finally:
-        spark.conf.unset("spark.pregao.moneyDecimals")
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_strategies_that_share_a_place(sample):
+    with pytest.raises(ValueError, match="ordem"):
+        m.scorecards(sample, st.EVERY)
+    with pytest.raises(ValueError, match="ordem"):
+        m.strategy_totals(sample, st.EVERY)
+    keyed = m.scorecards(sample, st.EVERY, with_key=True).collect()
+    for s in (st.ABERTURA_FUTUROS, st.ABERTURA_FUTUROS_EX_CCM):
+        own = sum(r["qtd_melhores"] for r in keyed if r["chave"] == s.key)
+        assert own == sum(r["qtd_melhores"] for r in m.scorecard(sample, s).collect())
+
+
+def test_a_twin_and_a_strategy_of_the_same_number_do_not_mix(sample):
+    twin = replace(st.LEILAO, key="gemeo", ordem=9)
+    alone = as_dicts(m.scorecard(sample, st.LEILAO))
+    both = as_dicts(m.scorecards(sample, (st.LEILAO, twin)))
+    for number in (3, 9):
+        own = [r for r in both if r["ordem"] == number]
+        assert [r["qtd_melhores"] for r in own] == [r["qtd_melhores"] for r in alone]
+    other = replace(st.LEILAO, key="outro", ordem=4)
+    with pytest.raises(ValueError, match="ordem"):
+        m.scorecards(sample, (other, replace(st.X_SALADA, ordem=4)))
+    cards = as_dicts(m.scorecards(sample, (st.MILHO, st.X_SALADA, replace(other, ordem=7))))
+    wins = sum(r["qtd_melhores"] for r in cards if r["ordem"] == 5)
+    assert wins == sum(r["qtd_melhores"] for r in m.scorecard(sample, st.X_SALADA).collect())
+    with pytest.raises(ValueError, match="key"):
+        m.scorecards(sample, (st.LEILAO, st.LEILAO))
+
+
+def test_a_summary_knows_its_strategies(sample, tmp_path):
+    with pytest.raises(ValueError, match="ex_ccm"):
+        overview_of_summary(m.daily_summary(sample, st.OVERVIEW), strategies=st.PAGES)
+    own = replace(st.FUTUROS_TARDE, key="own", until="10:00:00")
+    with pytest.raises(ValueError, match="own"):
+        overview_of_summary(m.daily_summary(sample), strategies=(own,))
+    m.daily_summary(sample).write.parquet(str(tmp_path / "s"))
+    stored = sample.sparkSession.read.parquet(str(tmp_path / "s"))
+    assert overview_of_summary(stored).totals.collect() == m.strategy_totals(sample).collect()
+    plain = stored.selectExpr("* EXCEPT (tags)", "tags + 0 AS tags")
+    with pytest.raises(ValueError, match="does not say"):
+        overview_of_summary(plain)
+
+
+def test_a_report_reads_the_trades_once(sample, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    sample.write.parquet(path)
+    trades_ = sample.sparkSession.read.parquet(path)
+    written = []
+
+    def counted(df, label):
+        written.append(label)
+        return materialise(df, label)
+
+    monkeypatch.setattr(reports, "materialise", counted)
+    for made in (
+        lambda: overview(trades_),
+        lambda: strategy_page(trades_, st.LEILAO),
+        lambda: range_report(trades_, "2024-01-01", None),
+        lambda: month_report(trades_, 4),
+    ):
+        written.clear()
+        report = made()
+        assert len(written) == 1
+        for table in report:
+            assert table.inputFiles() and not any(path in f for f in table.inputFiles())
+
+
+def test_traders_in_reports(sample):
+    page = strategy_page(sample, st.FUTUROS_TARDE)
+    assert_close(page.by_trader, m.total_by_trader(sample, st.FUTUROS_TARDE))
+    report = month_report(sample, 4)
+    april = month_filter(sample, 4)
+    for s in st.WITHOUT_CORN:
+        own = report.by_trader.where(f"ordem = {s.ordem}").drop("ordem")
+        assert_close(own, m.total_by_trader(april, s, root=False))
 
 
 def test_large_sums_stay_exact(spark):

@@ -9,15 +9,18 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry_points  # noqa: E402
+import checks.oracle  # noqa: E402
+import checks.queries  # noqa: E402
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = checks.queries.queries()
+ORACLE = checks.oracle.oracle_sql()
 TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
 
 
 def test_every_query_has_a_counterpart():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLE) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -37,18 +40,41 @@ def test_matches_sql(spark, name):
     assert sorted(rows, key=repr) == sorted(expected, key=repr)
 
 
+# Tables that come in an order: columns, and whether each falls.
+ORDERED = {
+    "mean_value_per_share": (("ordem", False), ("valor_por_acao", True), ("codigo", False)),
+    "mean_value_per_contract": (("ordem", False), ("codigo", False)),
+    "mean_duration": (("ordem", False), ("duracao", True), ("codigo", False)),
+    "scorecard_abertura_futuros": (("codigo", False),),
+    "scorecard_leilao": (("liquido", True), ("codigo", False)),
+    "total_por_ativo_tarde": (("codigo", False),),
+    "total_operador_abril": (("ordem", False), ("nome", False), ("codigo", False)),
+    "daily_cumulative": (("data", False),),
+    "ledger_head": (("event_id", False),),
+}
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_order(spark, name):
+    rows = QUERIES[name](spark, FOLDER).collect()
+    expected = list(rows)
+    for column, falls in reversed(ORDERED[name]):
+        expected.sort(key=lambda r: r[column], reverse=falls)
+    assert rows == expected and len(rows) > 1
+
+
 # Row counts of the sample ledger, worked out beforehand.
 KNOWN = {
     "ledger_shape": 10_000,
     "cleaned_ledger": 8_066,
-    "month_filter": 1_954,
-    "rows_abertura_futuros": 1_671,
-    "rows_abertura_futuros_ex_ccm": 1_452,
-    "rows_futuros_tarde": 1_997,
-    "rows_abertura_acoes": 688,
-    "rows_leilao": 1_198,
-    "rows_milho": 1_008,
-    "rows_x_salada": 408,
+    "month_filter": 1_928,
+    "rows_abertura_futuros": 1_627,
+    "rows_abertura_futuros_ex_ccm": 1_395,
+    "rows_futuros_tarde": 1_918,
+    "rows_abertura_acoes": 663,
+    "rows_leilao": 1_150,
+    "rows_milho": 981,
+    "rows_x_salada": 395,
     "scorecards": 34,
     "daily_cumulative": 240,
 }

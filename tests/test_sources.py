@@ -4,6 +4,7 @@ import os
 import pytest
 from ledgers import as_dicts, ledger
 
+from pregao import session
 from pregao.operators.cleaning import clean
 from pregao.operators.profile import column_types, head, null_profile, shape
 from pregao.operators.selection import date_range
@@ -162,3 +163,106 @@ def test_profile(spark):
 def test_profile_of_an_empty_ledger(spark):
     assert {r["nulos"] for r in null_profile(ledger(spark)).collect()} == {0}
     assert tuple(shape(ledger(spark)).first()) == (0, 10)
+
+
+def written(tmp_path, *texts):
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.csv").write_text(text, encoding="latin-1")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("row", ["A,10.5,12,50", "A,10.5,12,", "A,10.5,12,,7", '"A,B",1,"x ""y"", z",4'])
+def test_surplus_fields_stop_the_job(spark, tmp_path, row):
+    path = written(tmp_path, f"Codigo,Bruto,Nota\nA,1,2\n{row}\n")
+    with pytest.raises(Exception, match="more than the 3 fields"):
+        read_export(spark, path).select("codigo").collect()
+    with pytest.raises(Exception, match="more than the 3 fields"):
+        read_export(spark, path).count()
+
+
+def test_short_and_quoted_records_are_kept(spark, tmp_path):
+    path = written(tmp_path, 'Codigo,Bruto,Nota\nA,1\n"B,C",2,"x ""y"", z"\n')
+    rows = read_export(spark, path).collect()
+    assert [tuple(r) for r in rows] == [("A", 1.0, None), ("B,C", 2.0, 'x "y", z')]
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    swapped = written(tmp_path, "Codigo,Liquido\nA,1\n", "Liquido,Codigo\n2,B\n")
+    with pytest.raises(Exception, match="header"):
+        read_export(spark, swapped).collect()
+
+
+def test_repeated_headers_are_read_from_one_file_only(spark, tmp_path):
+    head, row = "Data,Obs,Codigo,Liquido,Obs", "2023-04-01,o,A,5,p"
+    (tmp_path / "one").mkdir()
+    assert read_export(spark, written(tmp_path / "one", f"{head}\n{row}\n")).first()["liquido"] == 5.0
+    (tmp_path / "two").mkdir()
+    both = written(tmp_path / "two", f"{head}\n{row}\n", "Data,Obs,Liquido,Codigo,Obs\n2023-04-01,o,5,A,p\n")
+    with pytest.raises(ValueError, match="Obs"):
+        read_export(spark, both)
+
+
+def test_forms_of_numbers_and_times(spark, tmp_path):
+    lines = ["4/17/2023 9:01,100.0", "2023-04-17 09:01:02.5,1e2", "04/07/2023 12:00:00.25,7", "2023-04-17,"]
+    rows = read_export(spark, written(tmp_path, "Datahora,Quantidade\n" + "\n".join(lines) + "\n")).collect()
+    assert [r["quantidade"] for r in rows] == [100, 100, 7, None]
+    assert [r["datahora"] for r in rows] == [
+        dt.datetime(2023, 4, 17, 9, 1),
+        dt.datetime(2023, 4, 17, 9, 1, 2, 500_000),
+        dt.datetime(2023, 4, 7, 12, 0, 0, 250_000),
+        dt.datetime(2023, 4, 17),
+    ]
+
+
+@pytest.mark.parametrize(
+    ("header", "value", "hint"),
+    [("Data", "17/04/2023", "date_format"), ("Datahora", "17/04/2023 9:01", "timestamp_format"), ("Quantidade", "1.5", "bigint")],
+)
+def test_errors_name_header_and_value(spark, tmp_path, header, value, hint):
+    path = written(tmp_path, f"{header}\n{value}\n")
+    with pytest.raises(Exception, match=f"{header}: not a .*{value}.*") as error:
+        read_export(spark, path).collect()
+    assert hint in str(error.value)
+
+
+def test_characters_outside_the_encoding_stop_the_write(spark, tmp_path):
+    df = spark.createDataFrame([("Joło €", 1)], "nome string, n int")
+    with pytest.raises(Exception, match="MALFORMED_CHARACTER_CODING"):
+        write_export(df, str(tmp_path / "latin"))
+    write_export(df, str(tmp_path / "utf"), encoding="UTF-8")
+    assert read_export(spark, str(tmp_path / "utf"), encoding="UTF-8").first()["nome"] == "Joło €"
+
+
+class Named:
+    """Settings of a session that is not started."""
+
+    def __init__(self, scheme="file", **conf):
+        self.values = {"spark." + k.replace("_", "."): v for k, v in conf.items()}
+        self.conf = self
+        self.sparkContext = self._jsc = self
+        self.scheme = scheme
+
+    def get(self, key, default=None):
+        return f"{self.scheme}:///" if key == "fs.defaultFS" else self.values.get(key, default)
+
+    def hadoopConfiguration(self):
+        return self
+
+
+def test_scratch_on_a_cluster_is_shared():
+    assert session.scratch_root(Named(master="yarn", checkpoint_dir="hdfs://n/x/")) == "hdfs://n/x"
+    assert session.scratch_root(Named("hdfs", master="yarn", checkpoint_dir="/x")) == "/x"
+    assert session.scratch_root(Named(master="local[2]", checkpoint_dir="/x")) == "/x"
+    for conf in ({}, {"checkpoint_dir": "/tmp/x"}):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.scratch_root(Named(master="spark://n:1", **conf))
+
+
+def test_release_deletes_its_own_tables_only(spark, tmp_path):
+    kept = session.materialise(spark.range(5).toDF("n"), "kept")
+    spark.range(3).toDF("n").write.parquet(str(tmp_path / "other"))
+    other = spark.read.parquet(str(tmp_path / "other"))
+    assert session.release(kept.unionByName(other)) == 1
+    assert session.release(other) == 0 and other.count() == 3
+    with pytest.raises(Exception, match="(?i)not.*exist|not_found|FileNotFound"):
+        kept.collect()
