@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 
+import pytest
+
 from pregao.llm import chat, queries
 
 from .test_hilbert import save
@@ -55,6 +57,20 @@ def test_query_on_conversations(spark):
     check(spark, folder, rows)
 
 
+def test_query_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.01"
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
+        want = db.execute(queries.oracle_sql()["op8_typed_chat"])
+        columns = [(d[0], str(d[1])) for d in want.description]
+        rows = want.fetchall()
+    got = queries.op8_typed_chat(spark, folder)
+    types = {"bigint": "BIGINT", "string": "VARCHAR"}
+    assert sorted((c, types[t]) for c, t in got.dtypes) == sorted(columns)
+    assert sorted(tuple(r[c] for c, _ in columns) for r in got.collect()) == sorted(rows)
+
+
 def part(type_, **values):
     return {"type": type_, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | values
 
