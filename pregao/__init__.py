@@ -12,7 +12,7 @@ from pregao.plans import (
     range_report,
     strategy_page,
 )
-from pregao.session import build_session, materialise
+from pregao.session import build_session, materialise, release
 from pregao.sources import ledger_from_events, read_export, read_ledger, write_ledger
 
 __all__ = [
@@ -30,6 +30,7 @@ __all__ = [
     "range_report",
     "read_export",
     "read_ledger",
+    "release",
     "scorecard",
     "scorecards",
     "strategy_page",
