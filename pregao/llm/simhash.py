@@ -109,13 +109,14 @@ def list_links(
     values: np.ndarray,
     max_bits: int,
     accept: Callable[[int, int], bool] | None = None,
+    able: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> np.ndarray:
     """A spanning forest of the links inside each run of equal keys, as index pairs.
 
     Row i is compared with row i + d of its run, for d = 1, 2, ... at once over all runs;
     pairs that earlier links already join are passed over. Two blocks of one list (sides 1
-    and 2) are compared with each other, a single block (side 0) with itself. ``accept`` has the
-    last word on a pair.
+    and 2) are compared with each other, a single block (side 0) with itself. ``able`` says of
+    many pairs at once which may be linked, ``accept`` has the last word on a pair.
     """
     size = len(values)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -127,6 +128,8 @@ def list_links(
         agreeing = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
         a, differ = a[agreeing >= BYTES - max_bits], differ[agreeing >= BYTES - max_bits]
         a = a[np.bitwise_count(differ) <= max_bits]
+        if able is not None and len(a):
+            a = a[able(a, a + step)]
         for x in a.tolist():
             p, q = x, x + step
             while root[p] != p:
@@ -170,15 +173,15 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Reco
         yield pa.record_batch([pa.array(values[ends[:, 0]]), pa.array(values[ends[:, 1]])], names=["u", "v"])
 
 
-def in_blocks(index: DataFrame, sizes: DataFrame, block: int, how: str) -> DataFrame:
-    """Deal the rows (list, fingerprint) of long lists to pairs of blocks: adds ``pair`` and ``side``.
+def in_blocks(index: DataFrame, sizes: DataFrame, block: int, how: str, by: str = "fingerprint") -> DataFrame:
+    """Deal the rows (list, ``by``) of long lists to pairs of blocks: adds ``pair`` and ``side``.
 
     ``sizes`` (list, rows) names the lists to be cut; others are one block (``how`` "left") or
     go ("inner"). Block b meets every block: as side 0 with itself, 1 with later ones, 2 with
     earlier ones.
     """
     blocks = F.coalesce(F.ceil(F.col("rows") / F.lit(block)), F.lit(1).cast("long"))
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks"))
+    own = F.pmod(F.xxhash64(by), F.col("blocks"))
     meets = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda o: F.struct(
@@ -187,7 +190,7 @@ def in_blocks(index: DataFrame, sizes: DataFrame, block: int, how: str) -> DataF
         ),
     )
     dealt = index.join(sizes, "list", how).withColumn("blocks", blocks).withColumn("own", own)
-    return dealt.withColumn("m", F.explode(meets)).select("list", "m.pair", "m.side", "fingerprint")
+    return dealt.withColumn("m", F.explode(meets)).select("list", "m.pair", "m.side", by)
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
