@@ -120,7 +120,7 @@ def op8_typed_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = lines.without_repeated_lines(docs)
+    found = lines.without_repeated_lines(docs, bands=lines.BANDS)
     return found.select(
         "doc_id",
         F.col("_lines").alias("n_lines"),
