@@ -48,7 +48,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+)>", re.S
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 WORD = re.compile(r"[a-z]+")
 
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boiler", "main", "heading")
@@ -112,10 +113,10 @@ def blocks(page: str) -> list[Block]:
                 links = int(opening)
             elif tag == "br":
                 parts.append(" ")
-            if opening and tag not in VOID and m[3] and HIDDEN.search(m[3]):
+            if opening and tag not in VOID and m[3] and _hidden(m[3]):
                 at = _skip(page, tag, at)
             continue
-        if opening and (tag in RAW or (m[3] and tag not in VOID and tag not in ("html", "body") and HIDDEN.search(m[3]))):
+        if opening and (tag in RAW or (m[3] and tag not in VOID and tag not in ("html", "body") and _hidden(m[3]))):
             close()
             if not m[3].endswith("/"):
                 at = _skip(page, tag, at)
@@ -136,8 +137,44 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def _hidden(attributes: str) -> bool:
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or (name == "style" and NOT_SHOWN.search(value)) or (name == "aria-hidden" and value.strip().lower() == "true"):
+            return True
+    return False
+
+
+def _skip_implied(page: str, tag: str, at: int) -> int:
+    """Place where an element ends that may go without end tag: a sibling's start and the parent's end close it."""
+    stack = [tag]
+    while m := TOKEN.search(page, at):
+        at, inner = m.end(), (m[2] or "").lower()
+        if not inner or inner in INLINE or inner in VOID:
+            continue
+        if m[1]:
+            if inner not in stack:
+                return m.start()
+            while stack.pop() != inner:
+                pass
+            if not stack:
+                return at
+            continue
+        if inner in RAW:
+            at = at if m[3].endswith("/") else _skip(page, inner, at)
+            continue
+        while stack and (stack[-1] in SELF_CLOSING or stack[-1] in SIBLINGS.get(inner, ())):
+            stack.pop()
+        if not stack:
+            return m.start()
+        stack.append(inner)
+    return len(page)
+
+
 def _skip(page: str, tag: str, at: int) -> int:
     """Place after the element's end tag, nested elements of that name included; the page's end if there is none."""
+    if tag == "p" or tag in SIBLINGS:
+        return _skip_implied(page, tag, at)
     depth = 1
     for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).finditer(page, at):
         # The content of scripts and styles is not markup.

@@ -75,3 +75,18 @@ def test_odd_rows(spark, tmp_path):
     assert by_id[1]["text"] == by_id[None]["text"] == "" and by_id[1]["n_chars"] == 0
     assert by_id[3]["text"].count("\n") == 19_999
     assert queries.op10_page_text(spark, save(spark, tmp_path / "b", [], "page_id long, url string, html string", "pages")).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article><p hidden>x<p>{LONG}</p></article>",
+        f"<article><ul><li style='display:none'>x<li>y</ul><p>{LONG}</p></article>",
+        f"<table><tr hidden><td>x<tr><td>{LONG}</table>",
+        f"<article><p>{LONG} <a title='The hidden valley' href=1>walk</a></p></article>",
+        f"<article><div class='is hidden md'>{LONG}</div></article>",
+    ],
+)
+def test_hidden_elements_end_and_names_only_hide(page):
+    found = " ".join(b.text for b in pages.blocks(page))
+    assert LONG in found and "x" not in found.split() and ("walk" in found) == ("walk" in page)
