@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregao.llm import byteconv, chat, hilbert, lines, mixing, packing, pages, postings, simhash, winnowing
-from pregao.llm.common import table
+from pregao.llm import (
+    byteconv,
+    chat,
+    hilbert,
+    licenses,
+    lines,
+    mixing,
+    packing,
+    pages,
+    periodic,
+    postings,
+    simhash,
+    vector_codes,
+    winnowing,
+)
+from pregao.llm.common import BLANK_CHARS, BLANKS, let, table
 from pregao.llm.neighbours import with_next
+from pregao.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -134,6 +150,62 @@ def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extracted(table(spark, folder, "pages"))
 
 
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth text, by a hash of its id, repeats a stretch of its words to the end."""
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    draw = F.floor(hashed / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        first = draw % n
+        period = F.floor((n - first) / (F.lit(3) + draw % 8)) + 1
+        place = F.sequence(F.lit(0).cast("long"), n - F.lit(1).cast("long"))
+        source = F.transform(place, lambda i: F.when(i < first, i).otherwise(first + (i - first) % period))
+        return F.array_join(F.transform(source, lambda i: F.get(words, i.cast("int"))), " ")
+
+    trimmed = F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANK_CHARS))
+    planted = (hashed % 10 == 0) & (trimmed != "")
+    return docs.select("doc_id", F.when(planted, let(F.split(trimmed, BLANKS), repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_repeats(table(spark, folder, "documents")))
+    # Runs come by start and period, so of equal exponents the first one stays.
+    more = lambda best, r: r["length"] * best["period"] > best["length"] * r["period"]
+    rest = F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0)))
+    most = F.aggregate(rest, F.get("runs", F.lit(0)), lambda best, r: F.when(more(best, r), r).otherwise(best))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    rows = found.withColumn("most", F.when(F.size("runs") > 0, most))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "most.start",
+        "most.length",
+        "most.period",
+        F.floor(F.expr("1000 * most.length DIV most.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_slice_intersect_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = materialise(vector_codes.whole_numbers(table(spark, folder, "embeddings")), "whole-vectors")
+    books = vector_codes.fit(vectors)
+    components = ",".join(str(x) for book in books for entry in book.tolist() for x in entry)
+    found = vector_codes.with_label_error(vector_codes.coded(vectors, books))
+    return found.select(
+        "vec_id",
+        F.array_join(F.transform("entries", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")), "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(hashlib.sha256(components.encode()).hexdigest()).alias("codebooks_sha256"),
+    )
+
+
+def op13_diagonal_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.summary(licenses.found_spans(table(spark, folder, "documents")))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_hilbert_shards,
@@ -146,6 +218,9 @@ def queries() -> dict[str, Query]:
         op8_typed_chat,
         op9_fuzzy_lines,
         op10_page_text,
+        op11_periodic_runs,
+        op12_slice_intersect_codes,
+        op13_diagonal_licenses,
     )
     return {f.__name__: f for f in found}
 
@@ -171,6 +246,86 @@ FROM joined
 """
 
 
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every distance of every round, by joins of single coordinates."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT rid, part, CAST(MIN(dist * {entries} + entry) % {entries} AS BIGINT) AS entry, CAST(MIN(dist * {entries} + entry) // {entries} AS BIGINT) AS dist
+  FROM (SELECT rid, part, entry, SUM((x - c) * (x - c)) AS dist FROM comp JOIN b{r} USING (part, place) GROUP BY rid, part, entry) d
+  GROUP BY rid, part
+)"""
+    moved = """b{s} AS MATERIALIZED (
+  SELECT part, entry, place, COALESCE(CAST((total - ((total % n) + n) % n) // n AS BIGINT), c) AS c
+  FROM b{r} LEFT JOIN (
+    SELECT part, entry, place, SUM(x) AS total, COUNT(*) AS n FROM comp JOIN a{r} USING (rid, part) GROUP BY part, entry, place
+  ) m USING (part, entry, place)
+)"""
+    steps = [nearest.format(r=0, entries=entries)]
+    for r in range(rounds):
+        steps += [moved.format(r=r, s=r + 1), nearest.format(r=r + 1, entries=entries)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT ROW_NUMBER() OVER () AS rid, vec_id, label, embedding FROM embeddings
+  WHERE LEN(embedding) > 0 AND LEN(LIST_FILTER(embedding, LAMBDA x: x IS NULL OR ISNAN(x) OR ISINF(x))) = 0
+), comp AS MATERIALIZED (
+  SELECT rid, (i - 1) // (LEN(embedding) // {parts}) AS part, (i - 1) % (LEN(embedding) // {parts}) AS place,
+    CAST(FLOOR(4096 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT rid, embedding, UNNEST(RANGE(1, LEN(embedding) + 1)) AS i FROM kept) e
+), b0 AS MATERIALIZED (
+  SELECT part, entry, place, x AS c FROM comp
+  JOIN (SELECT rid, ROW_NUMBER() OVER (ORDER BY vec_id NULLS LAST) - 1 AS entry FROM kept QUALIFY entry < {entries}) f USING (rid)
+), {", ".join(steps)}, coded AS (
+  SELECT rid, STRING_AGG(FORMAT('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(SUM(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY rid
+)
+SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT SHA256(STRING_AGG(CAST(c AS VARCHAR), ',' ORDER BY part, entry, place)) FROM b{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (rid)
+"""
+
+
+def _op13_sql() -> str:
+    templates = licenses.standard_templates()
+    rows = ", ".join(
+        f"({n}, '{t.label}', {'TRUE' if t.phrase else 'FALSE'}, {t.gram}, {t.votes}, STRING_SPLIT('{' '.join(t.words)}', ' '))"
+        for n, t in enumerate(templates)
+    )
+    return f"""
+WITH t(id, label, phrase, gram, votes, tw) AS (VALUES {rows}), docs AS MATERIALIZED (
+  SELECT ROW_NUMBER() OVER () AS rid, doc_id,
+    REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), grams AS (
+  SELECT rid, p, w[p] AS a, w[p + 1] AS b, w[p + 2] AS c FROM (SELECT rid, w, UNNEST(RANGE(1, LEN(w))) AS p FROM docs) x
+), places AS (
+  SELECT id, phrase, j, tw[j] AS a, tw[j + 1] AS b, tw[j + 2] AS c, gram
+  FROM (SELECT *, UNNEST(RANGE(1, LEN(tw) - gram + 2)) AS j FROM t) x
+), votes AS (
+  SELECT rid, id, phrase, p - j AS diagonal, COUNT(*) AS n FROM grams g
+  JOIN places s ON g.a = s.a AND g.b = s.b AND (s.gram = 2 OR g.c = s.c) GROUP BY rid, id, phrase, p - j
+), numbered AS (
+  SELECT *, SUM(fresh) OVER (PARTITION BY rid, id ORDER BY diagonal) AS span FROM (
+    SELECT *, CASE WHEN diagonal - LAG(diagonal) OVER (PARTITION BY rid, id ORDER BY diagonal)
+      <= CASE WHEN phrase THEN 0 ELSE {licenses.SLACK} END THEN 0 ELSE 1 END AS fresh FROM votes) v
+), candidates AS (
+  SELECT rid, id, span, SUM(n) AS n, MIN(diagonal) AS low, MAX(diagonal) AS high FROM numbered GROUP BY rid, id, span
+), checked AS (
+  SELECT rid, label, phrase, GREATEST(low, 0) AS start, LEN(LIST_FILTER(RANGE(1, LEN(tw) + 1),
+      LAMBDA j: LEN(LIST_FILTER(RANGE(low - slack, high + slack + 1), LAMBDA d: d + j >= 1 AND w[d + j] = tw[j])) > 0)) / LEN(tw) AS share
+  FROM candidates JOIN (SELECT *, CASE WHEN phrase THEN 0 ELSE {licenses.SLACK} END AS slack FROM t) s USING (id)
+  JOIN docs USING (rid) WHERE n >= votes
+), verified AS (
+  SELECT rid, COUNT(*) FILTER (WHERE phrase) AS n_base, MIN(start) FILTER (WHERE phrase) AS first_word,
+    MAX(start) FILTER (WHERE phrase) AS last_word, MAX(share) AS score,
+    STRING_AGG(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase) AS base_labels,
+    STRING_AGG(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM checked WHERE share >= CASE WHEN phrase THEN 1 ELSE {licenses.MIN_SHARE} END GROUP BY rid
+)
+SELECT doc_id, CAST(LEN(w) AS BIGINT) AS n_words, COALESCE(n_base, 0) AS n_base, first_word, last_word,
+  COALESCE(base_labels, '') AS base_labels, COALESCE(labels, '') AS labels, CAST(COALESCE(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN verified USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries' rows cannot be had from SQL alone; the tests compare them with plain loops."""
-    return {"op8_typed_chat": OP8_SQL}
+    return {"op8_typed_chat": OP8_SQL, "op12_slice_intersect_codes": _op12_sql(), "op13_diagonal_licenses": _op13_sql()}
