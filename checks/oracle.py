@@ -147,11 +147,20 @@ def losers_part(key: str) -> str:
     )
 
 
+# Ratios in whole multiples of 2^-62, whose sum is exact; by way of text it becomes the nearest double.
+UNIT = "4611686018427387904"
+
+
+def exact_mean(x: str) -> str:
+    total = f"SUM(CAST(ROUND_EVEN({x} * CAST({UNIT} AS DOUBLE), 0) AS HUGEINT))"
+    return f"CAST(CAST({total} AS VARCHAR) AS DOUBLE) / CAST({UNIT} AS DOUBLE) / COUNT({x})"
+
+
 def unit_part(key: str) -> str:
     if key in SHARE:
-        value, name = "ROUND(AVG(valor_por_acao) * 100, 6)", "valor_por_acao"
+        value, name = f"{exact_mean('valor_por_acao')} * 100", "valor_por_acao"
     else:
-        value, name = "ROUND(AVG(valor_por_contrato), 6)", "valor_por_contrato"
+        value, name = exact_mean("valor_por_contrato"), "valor_por_contrato"
     return f"SELECT codigo, {value} AS {name} FROM t WHERE {WHERE[key]} AND codigo IS NOT NULL GROUP BY codigo"
 
 
@@ -265,6 +274,27 @@ EXPORT_EXTRA = (
 )
 
 
+_SECOND = "MOD(event_id, 2) = 1"
+INFERRED = [
+    f"SELECT '{name}' AS coluna, '{kind}' AS tipo, COUNT(v) AS presentes, {biggest} AS maior FROM (SELECT *, {value} AS v FROM raw) x"
+    for name, kind, value, biggest in (
+        ("inteiro", "bigint", "event_id", "CAST(MAX(v) AS VARCHAR)"),
+        ("falta", "double", f"CASE WHEN NOT ({_SECOND} AND MOD(event_id, 10) = 9) THEN quantidade END", "CAST(CAST(MAX(v) AS DOUBLE) AS VARCHAR)"),
+        ("misto", "double", f"quantidade + CASE WHEN {_SECOND} THEN 0.5 ELSE 0 END", "CAST(CAST(MAX(v) AS DOUBLE) AS VARCHAR)"),
+        ("grande", "string", f"CASE WHEN {_SECOND} THEN '123456789012345678' || (event_id + 1000000) ELSE CAST(event_id AS VARCHAR) END", "MAX(v)"),
+        ("texto", "string", f"CASE WHEN {_SECOND} AND MOD(event_id, 3) = 0 THEN 'x' ELSE CAST(event_id AS VARCHAR) END", "MAX(v)"),
+        ("logico", "boolean", f"CASE WHEN {_SECOND} THEN MOD(event_id, 6) = 0 ELSE MOD(event_id, 4) = 0 END", "CAST(MAX(v) AS VARCHAR)"),
+        (
+            "talvez", "string",
+            f"CASE WHEN NOT {_SECOND} THEN CAST(MOD(event_id, 4) = 0 AS VARCHAR) WHEN MOD(event_id, 6) <> 1 THEN CAST(MOD(event_id, 6) = 0 AS VARCHAR) END",
+            "MAX(v)",
+        ),
+        ("vazio", "double", "NULL", "CAST(NULL AS VARCHAR)"),
+        ("data", "date", "data", "CAST(MAX(v) AS VARCHAR)"),
+    )
+]
+
+
 def union_all(rows) -> str:
     return " UNION ALL ".join(rows)
 
@@ -349,6 +379,19 @@ def oracle_sql() -> dict[str, str]:
         ),
         "header_normalisation": on_raw(f"SELECT *, {EXPORT_EXTRA} FROM raw"),
         "parquet_ledger": on_closed(f"SELECT * FROM closed WHERE {RANGE}"),
+        "carga_por_dia": on_closed("SELECT * FROM closed"),
+        "limites_das_pastas": on_closed("SELECT MIN(data) AS data_min, MAX(data) AS data_max FROM closed"),
+        "perfil_na_carga": on_raw(
+            union_all(
+                f"SELECT '{c}' AS coluna, '{kind}' AS tipo, COUNT({c}) AS presentes, COUNT(*) - COUNT({c}) AS nulos, "
+                f"COUNT(*) AS linhas, CAST({len(COLUMN_TYPES)} AS INT) AS colunas FROM raw"
+                for c, kind in COLUMN_TYPES.items()
+            )
+        ),
+        "resumo_atualizado_totals": on_chosen(totals(SIX), RANGE),
+        "resumo_atualizado_cumulative": on_chosen(CUMULATIVE),
+        "resumo_operador": on_chosen(numbered(trader_part, FIVE), RANGE),
+        "csv_inferido": on_raw(union_all(INFERRED)),
         "total_por_ativo_abertura": on_chosen(total_part("abertura_futuros_ex_ccm")),
         "total_por_ativo_tarde": on_chosen(total_part("futuros_tarde")),
         "total_por_ativo_x_salada": on_chosen(total_part("x_salada")),

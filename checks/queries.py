@@ -22,10 +22,16 @@ from pregao.plans import (
 from pregao.session import materialise, scratch_path
 from pregao.sources import (
     ledger_from_events,
+    load_days,
     read_export,
     read_ledger,
+    read_summary,
+    refresh_summary,
+    stored_bounds,
     write_export,
     write_ledger,
+    write_profiled,
+    write_summary,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,12 +60,6 @@ def in_range(spark: SparkSession, folder: str) -> DataFrame:
     return ledger_in_range(trades(spark, folder))
 
 
-def comparable(df: DataFrame) -> DataFrame:
-    """Means of ratios depend on the order of a floating-point sum; six decimals do not."""
-    units = (st.PER_CONTRACT, st.PER_SHARE)
-    return df.selectExpr(*[f"ROUND({c}, 6) AS {c}" if c in units else c for c in df.columns])
-
-
 def _rows_of(strategy: st.Strategy) -> Query:
     def query(spark, folder):
         rows = st.select_strategy(trades(spark, folder), strategy)
@@ -71,7 +71,7 @@ def _rows_of(strategy: st.Strategy) -> Query:
 def _scorecard(strategy: st.Strategy) -> Query:
     def query(spark, folder):
         dated = selection.date_range(trades(spark, folder))
-        return comparable(measures.scorecard(dated, strategy))
+        return measures.scorecard(dated, strategy)
 
     return query
 
@@ -117,7 +117,7 @@ def scorecard_join(spark, folder):
         measures.mean_value_per_share(summary),
         measures.mean_duration(summary, strategy),
     )
-    return comparable(joined.drop("ordem"))
+    return joined.drop("ordem")
 
 
 def headline_currency(spark, folder):
@@ -199,6 +199,77 @@ def stored_summary(spark, folder) -> DataFrame:
     return materialise(measures.daily_summary(trades(spark, folder)), "daily")
 
 
+def loaded_by_day(spark, folder) -> str:
+    """A ledger table of all but some days, with others half there, after a load of the rest."""
+    path = scratch_path(spark, "days")
+    rows = trades(spark, folder)
+    late = "data IS NULL OR DAY(data) % 3 = 0"
+    write_ledger(rows.where(f"NOT ({late}) OR (DAY(data) = 6 AND event_id % 2 = 0)"), path)
+    batch = rows.where(late)
+    load_days(batch, path)
+    load_days(batch, path)
+    return path
+
+
+def refreshed_summary(spark, folder) -> str:
+    """The summary of a ledger table whose days came in two loads, refreshed after the second."""
+    ledger_path, path = scratch_path(spark, "days"), scratch_path(spark, "summary")
+    rows = trades(spark, folder)
+    late = "data IS NULL OR DAY(data) % 5 = 0"
+    load_days(rows.where(f"NOT ({late}) OR event_id % 2 = 0"), ledger_path)
+    write_summary(read_ledger(spark, ledger_path), path)
+    refresh_summary(spark, ledger_path, path, load_days(rows.where(late), ledger_path))
+    return path
+
+
+def summary_by_trader(spark, folder):
+    """Totals per trader for a date choice, from the finer grain of the stored summary."""
+    path = scratch_path(spark, "summary")
+    write_summary(trades(spark, folder), path)
+    chosen = selection.date_range(read_summary(spark, path, measures.BY_TRADER), *RANGE)
+    return measures.totals_by_trader_of_summary(chosen, st.WITHOUT_CORN)
+
+
+def folder_bounds(spark, folder):
+    path = scratch_path(spark, "ledger")
+    write_ledger(trades(spark, folder), path)
+    return stored_bounds(spark, path)
+
+
+def profile_in_write(spark, folder):
+    """Rows, columns, types and missing values of the ledger, counted while it was written."""
+    observed = write_profiled(ledger(spark, folder), scratch_path(spark, "ledger"))
+    per_column = observed.column_types(spark).join(observed.null_profile(spark), "coluna")
+    rows = observed.shape(spark).first()
+    return per_column.withColumns({"linhas": F.lit(rows["linhas"]).cast("long"), "colunas": F.lit(rows["colunas"])})
+
+
+def csv_inferred(spark, folder):
+    """Two exports whose fields clash: the types of their columns and sums over them."""
+    paths = [scratch_path(spark, "typed"), scratch_path(spark, "typed")]
+    fields = {
+        "Inteiro": ("event_id", "event_id"),
+        "Falta": ("quantidade", "IF(event_id % 10 = 9, NULL, quantidade)"),
+        "Misto": ("quantidade", "quantidade + 0.5BD"),
+        "Grande": ("event_id", "CONCAT('123456789012345678', event_id + 1000000)"),
+        "Texto": ("event_id", "IF(event_id % 3 = 0, 'x', CAST(event_id AS STRING))"),
+        "Logico": ("event_id % 4 = 0", "event_id % 6 = 0"),
+        "Talvez": ("event_id % 4 = 0", "IF(event_id % 6 = 1, NULL, event_id % 6 = 0)"),
+        "Vazio": ("CAST(NULL AS STRING)", "CAST(NULL AS STRING)"),
+        "Data": ("DATE_FORMAT(data, 'M/d/yyyy')", "DATE_FORMAT(data, 'MM/dd/yyyy')"),
+    }
+    for odd, path in enumerate(paths):
+        half = ledger(spark, folder).where(f"event_id % 2 = {odd}")
+        write_export(half.selectExpr(*[f"{f[odd]} AS {name}" for name, f in fields.items()]), path)
+    read = read_export(spark, paths, infer=True)
+    counted = read.agg(
+        *[F.count(n).alias(f"{n}_n") for n in read.columns],
+        *[F.max(n).cast("string").alias(f"{n}_max") for n in read.columns],
+    )
+    rows = ", ".join(f"'{n}', '{kind}', {n}_n, {n}_max" for n, kind in read.dtypes)
+    return counted.selectExpr(f"STACK({len(fields)}, {rows}) AS (coluna, tipo, presentes, maior)")
+
+
 def queries() -> dict[str, Query]:
     one = {
         # rows
@@ -240,12 +311,8 @@ def queries() -> dict[str, Query]:
             _summary(s, f, CONTRACT_CARDS), CONTRACT_CARDS
         ),
         "losers_max": lambda s, f: measures.losers(_summary(s, f, SHARE_CARDS), SHARE_CARDS),
-        "mean_value_per_contract": lambda s, f: comparable(
-            measures.mean_value_per_contract(_summary(s, f, CONTRACT_CARDS))
-        ),
-        "mean_value_per_share": lambda s, f: comparable(
-            measures.mean_value_per_share(_summary(s, f, SHARE_CARDS))
-        ),
+        "mean_value_per_contract": lambda s, f: measures.mean_value_per_contract(_summary(s, f, CONTRACT_CARDS)),
+        "mean_value_per_share": lambda s, f: measures.mean_value_per_share(_summary(s, f, SHARE_CARDS)),
         "mean_duration": lambda s, f: measures.mean_duration(_summary(s, f, CARDS), CARDS),
         # the month, contract months kept apart
         "winners_abril": lambda s, f: measures.winners(_month_summary(s, f), CARDS),
@@ -255,24 +322,16 @@ def queries() -> dict[str, Query]:
         "total_operador_abertura_por_contrato": _by_trader(st.ABERTURA_FUTUROS, root=False),
         "total_operador_tarde_por_contrato": _by_trader(st.FUTUROS_TARDE, root=False),
         # both openings beside each other
-        "scorecards_todas": lambda s, f: comparable(
-            measures.scorecards(selection.date_range(trades(s, f)), st.EVERY, with_key=True)
-        ),
+        "scorecards_todas": lambda s, f: measures.scorecards(selection.date_range(trades(s, f)), st.EVERY, with_key=True),
         "acumulado_fracionado": fractional_running,
-        "scorecards": lambda s, f: comparable(
-            measures.scorecards(selection.date_range(trades(s, f)))
-        ),
-        "scorecard_abril_por_contrato": lambda s, f: comparable(
-            month_report(trades(s, f), MONTH).scorecards
-        ),
+        "scorecards": lambda s, f: measures.scorecards(selection.date_range(trades(s, f))),
+        "scorecard_abril_por_contrato": lambda s, f: month_report(trades(s, f), MONTH).scorecards,
         "scorecard_join": scorecard_join,
         # totals and time
         "strategy_totals": lambda s, f: overview(trades(s, f)).totals,
         "strategy_totals_sem_milho": lambda s, f: month_report(trades(s, f), MONTH).totals,
         "strategy_totals_arredondados": lambda s, f: range_report(trades(s, f), *RANGE).totals,
-        "scorecards_periodo": lambda s, f: comparable(
-            range_report(trades(s, f), *RANGE).scorecards
-        ),
+        "scorecards_periodo": lambda s, f: range_report(trades(s, f), *RANGE).scorecards,
         "headline_currency": headline_currency,
         "daily_cumulative": lambda s, f: overview(trades(s, f)).running,
         # the overview from a stored daily summary
@@ -280,9 +339,7 @@ def queries() -> dict[str, Query]:
         "resumo_totals_paginas": lambda s, f: overview_of_summary(
             stored_summary(s, f), strategies=st.PAGES
         ).totals,
-        "resumo_scorecards": lambda s, f: comparable(
-            overview_of_summary(stored_summary(s, f), *RANGE).scorecards
-        ),
+        "resumo_scorecards": lambda s, f: overview_of_summary(stored_summary(s, f), *RANGE).scorecards,
         "resumo_cumulative": lambda s, f: overview_of_summary(
             stored_summary(s, f), *RANGE
         ).running,
@@ -296,6 +353,18 @@ def queries() -> dict[str, Query]:
         "csv_messy": csv_messy,
         "header_normalisation": header_normalisation,
         "parquet_ledger": parquet_ledger,
+        "csv_inferido": csv_inferred,
+        # days loaded one after another
+        "carga_por_dia": lambda s, f: read_ledger(s, loaded_by_day(s, f)),
+        "limites_das_pastas": folder_bounds,
+        "perfil_na_carga": profile_in_write,
+        "resumo_atualizado_totals": lambda s, f: overview_of_summary(
+            read_summary(s, refreshed_summary(s, f)), *RANGE
+        ).totals,
+        "resumo_atualizado_cumulative": lambda s, f: overview_of_summary(
+            read_summary(s, refreshed_summary(s, f))
+        ).running,
+        "resumo_operador": summary_by_trader,
     }
     per_strategy = {f"rows_{s.key}": _rows_of(s) for s in st.OVERVIEW}
     per_strategy["rows_abertura_futuros_ex_ccm"] = _rows_of(st.ABERTURA_FUTUROS_EX_CCM)

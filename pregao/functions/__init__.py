@@ -5,7 +5,9 @@ All of it runs inside generated code; there is no UDF.
 
 from pregao.functions.headers import snake_case, snake_case_all
 from pregao.functions.numbers import (
+    exact_sum,
     fixed_point,
+    from_exact,
     from_fixed_point,
     money_decimals,
     money_sum,
@@ -27,7 +29,9 @@ __all__ = [
     "DERIVATIVES",
     "FUTURES",
     "currency_text",
+    "exact_sum",
     "fixed_point",
+    "from_exact",
     "from_fixed_point",
     "in_families",
     "money_decimals",

@@ -56,3 +56,29 @@ def money_sum(x: str, decimals: int = MONEY_DECIMALS, test: str = "") -> str:
     exact = from_fixed_point(f"SUM({fixed_point(x, decimals)}) {test}", decimals)
     rest = f"COALESCE(SUM(({x}) - RINT(({x}) * 1e{decimals}) / 1e{decimals}) {test}, 0D)"
     return f"CAST({exact} + CAST({rest} AS DECIMAL(38,12)) AS DECIMAL(38,12))"
+
+
+# Bits of the unit of ``exact_sum`` below one, and of its three digits.
+EXACT_BITS = 62
+_DIGITS = (10, 36, 62)
+
+
+def exact_sum(x: str) -> str:
+    """The sum of doubles as a DECIMAL(38,0), in units of 2^-62: the same in any order.
+
+    A value is cut into three whole numbers, in units of 2^-10, 2^-36 and 2^-62; what is taken off at
+    each step is a double without rounding, and sums of the BIGINTs are exact and combine anywhere.
+    Values of 2^-10 and more lose nothing, smaller ones are rounded to the unit, ties to even.
+    Such sums can be summed again. Under ANSI mode a sum past 2^53 stops the job.
+    """
+    rest, total = f"({x})", []
+    for bits in _DIGITS:
+        digit = f"RINT({rest} * {float(1 << bits)!r}D)"
+        total.append(f"CAST(COALESCE(SUM(CAST({digit} AS BIGINT)), 0) AS DECIMAL(20,0)) * {1 << (EXACT_BITS - bits)}BD")
+        rest = f"({rest} - {digit} / {float(1 << bits)!r}D)"
+    return f"CAST({' + '.join(total)} AS DECIMAL(38,0))"
+
+
+def from_exact(total: str) -> str:
+    """An ``exact_sum``, or a sum of them, as the nearest double."""
+    return f"(CAST({total} AS DOUBLE) / {float(1 << EXACT_BITS)!r}D)"

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pregao.functions import (
+    exact_sum,
+    from_exact,
     money_decimals,
     money_sum,
     round2,
@@ -66,9 +68,9 @@ def summarise(trades: DataFrame, *keys: str | Column) -> DataFrame:
         "melhor": f"MAX(liquido) {win}",
         "perda_max": f"MAX(liquido) {loss}",
         "perda_min": f"MIN(liquido) {loss}",
-        "contrato_soma": "SUM(valor_por_contrato)",
+        "contrato_soma": exact_sum("valor_por_contrato"),
         "contrato_qtd": "COUNT(valor_por_contrato)",
-        "acao_soma": "SUM(valor_por_acao)",
+        "acao_soma": exact_sum("valor_por_acao"),
         "acao_qtd": "COUNT(valor_por_acao)",
         "duracao_soma": duration,
         "duracao_qtd": "COUNT(duracao)",
@@ -76,10 +78,12 @@ def summarise(trades: DataFrame, *keys: str | Column) -> DataFrame:
     return _aggregate(trades, keys, measures)
 
 
+_MERGED = {c: f"{rule}({c})" for rule, cs in (("SUM", _SUMS), ("MAX", _MAXIMA), ("MIN", _MINIMA)) for c in cs}
+
+
 def merge(summary: DataFrame, *keys: str) -> DataFrame:
     """Sum a summary up to fewer keys."""
-    rules = [("SUM", _SUMS), ("MAX", _MAXIMA), ("MIN", _MINIMA)]
-    return _aggregate(summary, keys, {c: f"{rule}({c})" for rule, cs in rules for c in cs})
+    return _aggregate(summary, keys, _MERGED)
 
 
 def daily_summary(trades: DataFrame, strategies: Strategies = EVERY) -> DataFrame:
@@ -92,6 +96,28 @@ def daily_summary(trades: DataFrame, strategies: Strategies = EVERY) -> DataFram
     return summarise(trades, "data", "codigo", tags(strategies))
 
 
+BY_TICKER, BY_TRADER = "ativo", "operador"
+GRAINS = (BY_TICKER, BY_TRADER)
+
+
+def two_grain_summary(trades: DataFrame, strategies: Strategies = EVERY) -> DataFrame:
+    """The daily summary and, beside it, one per trader as well, told apart by ``grao``.
+
+    One pass over the trades gives the finer one; both come from its few rows by grouping
+    sets. Reports per ticker read the coarse rows only, which a room full of traders
+    does not make more of.
+    """
+    keys = ["data", "nome", "codigo", "tags"]
+    fine = summarise(trades, "data", "nome", "codigo", tags(strategies))
+    sets = [["data", "codigo", "tags"], keys]
+    measures = [F.expr(m).alias(name) for name, m in _MERGED.items()]
+    both = fine.groupingSets(sets, *keys).agg(F.grouping("nome").alias("_rolled"), *measures)
+    grain = F.when(F.col("_rolled") == 1, BY_TICKER).otherwise(BY_TRADER).alias("grao")
+    # The tests that the bits stand for are the column's metadata, which grouping sets drop.
+    tagged = F.col("tags").alias("tags", metadata=fine.schema["tags"].metadata)
+    return both.select(grain, "data", "nome", "codigo", tagged, *_MERGED)
+
+
 def per_strategy(
     trades: DataFrame, strategies: Strategies = OVERVIEW, root: bool = True
 ) -> DataFrame:
@@ -147,9 +173,9 @@ def _within(strategies: Iterable[Strategy]) -> str:
 # Wins and losses are all there is to a net result.
 _TOTAL = "CAST(ganhos + perdas AS DOUBLE)"
 _UNITS = {
-    PER_CONTRACT: "TRY_DIVIDE(contrato_soma, contrato_qtd)",
+    PER_CONTRACT: f"TRY_DIVIDE({from_exact('contrato_soma')}, contrato_qtd)",
     # in percent
-    PER_SHARE: "TRY_DIVIDE(acao_soma, acao_qtd) * 100",
+    PER_SHARE: f"TRY_DIVIDE({from_exact('acao_soma')}, acao_qtd) * 100",
 }
 # Winning share of the decided trades, as a fraction.
 _HIT_RATE = (

@@ -131,12 +131,17 @@ def tags(strategies: Strategies) -> Column:
     return F.expr(bits).alias("tags", metadata={_TESTS: tests})
 
 
+def known_tests(df: DataFrame) -> list[str] | None:
+    """The tests that the bits of ``tags`` stand for."""
+    return df.schema["tags"].metadata.get(_TESTS)
+
+
 def fan_out(df: DataFrame, strategies: Strategies) -> DataFrame:
     """One row per strategy in the bit set ``tags``, as columns ``chave`` and ``ordem``.
 
     Strategies that the bits do not stand for are refused.
     """
-    known = df.schema["tags"].metadata.get(_TESTS)
+    known = known_tests(df)
     if known is None:
         raise ValueError("the tags column does not say which strategies it stands for")
     unknown = [s.key for s in distinct(strategies) if s.matches() not in known]

@@ -44,18 +44,23 @@ def read_export(
     timestamp_format: str | None = None,
     types: Mapping[str, str] | None = None,
     multi_line: bool = False,
+    infer: bool = False,
 ) -> DataFrame:
     """Read one or many exports with a header line into a typed ledger.
 
-    Every field is read as text (no inference pass over the data), missing
-    tokens become NULL, and the known columns are cast. Short records end in
-    NULLs. A record with more fields than the header, a file with another
+    Every field is read as text, missing tokens become NULL, and columns are cast. Short
+    records end in NULLs. A record with more fields than the header, a file with another
     header, or a value that does not parse stops the job; the last is noticed
     only when the value's column is computed, so ``count`` alone passes over it.
 
-    Dates are ISO, or month first when written with slashes, unless a format is
-    given. Whole numbers may be written ``100.0``. ``types`` overrides column
-    types, for instance ``{"quantidade": "double"}``. Quoted line breaks need
+    Dates are ISO, or month first when written with slashes, unless a format is given. Columns
+    beyond the known ones stay text. With ``infer``, one aggregate over all files looks at the
+    values first: a date column that mixes both forms is refused, and other columns get
+    a type that all their values have: ``bigint`` for whole numbers if none is missing, else
+    ``double``; ``boolean`` if none is missing; ``double`` for a column without any value; text otherwise.
+
+    Whole numbers may be written ``100.0``. ``types``
+    overrides column types, for instance ``{"quantidade": "double"}``. Quoted line breaks need
     ``multi_line``, which stops Spark from splitting files. Headers that are blank
     or equal up to case are taken by position, from a single file only.
     """
@@ -88,6 +93,10 @@ def read_export(
     wanted = {**COLUMN_TYPES, **(types or {})}
     formats = {"date": date_format, "timestamp_ntz": timestamp_format}
     present = text.select(*[_present(c) for c in text.columns if c != _RECORD])
+    if infer:
+        dated = {f"c{i}": headers[i] for i, n in enumerate(names) if wanted.get(n) in formats and not formats[wanted[n]]}
+        unknown = {f"c{i}": n for i, n in enumerate(names) if n not in wanted}
+        wanted |= _looked_at(present, dated, unknown)
     columns = []
     for i, name in enumerate(names):
         field, kind = F.col(f"c{i}"), wanted.get(name)
@@ -96,6 +105,48 @@ def read_export(
     return present.select(*columns)
 
 
+# A whole number, any number, a truth value, and a date with slashes.
+_WHOLE = r"^[+-]?\d+$"
+_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
+_TRUTH = r"^(True|TRUE|true|False|FALSE|false)$"
+_SLASHED = r"^\d{1,2}/\d{1,2}/\d{4}($| )"
+
+
+def _looked_at(present: DataFrame, dated: Mapping[str, str], unknown: Mapping[str, str]) -> dict[str, str]:
+    """The types of ``unknown`` columns, after a check that none of the ``dated`` ones mixes forms.
+
+    Each column has a few tests that hold for all its values or not. They combine in any
+    order, so one aggregate over all files and tasks joins the types that the files have.
+    """
+    found = []
+    for c in dated:
+        slashed = F.col(c).rlike(_SLASHED)
+        found += [F.min(F.when(slashed, F.col(c))).alias(f"{c}_slashed"), F.min(F.when(~slashed, F.col(c))).alias(f"{c}_iso")]
+    for c in unknown:
+        whole = F.col(c).rlike(_WHOLE) & F.col(c).try_cast("bigint").isNotNull()
+        # A whole number too large for BIGINT stays text, so that no digit is lost.
+        number = whole | (F.col(c).rlike(_NUMBER) & ~F.col(c).rlike(_WHOLE))
+        found += [F.every(test).alias(f"{c}_{name}") for name, test in (("whole", whole), ("number", number), ("truth", F.col(c).rlike(_TRUTH)))]
+        found.append(F.count_if(F.col(c).isNull()).alias(f"{c}_missing"))
+    if not found:
+        return {}
+    seen = present.agg(*found).first()
+    for c, header in dated.items():
+        slashed, iso = seen[f"{c}_slashed"], seen[f"{c}_iso"]
+        if slashed is not None and iso is not None:
+            raise ValueError(f"{header} mixes dates with slashes, such as {slashed}, and ISO dates, such as {iso}; a format can be given")
+    kinds = {}
+    for c, name in unknown.items():
+        whole, number, truth, missing = (seen[f"{c}_{t}"] for t in ("whole", "number", "truth", "missing"))
+        if whole and not missing:
+            kinds[name] = "bigint"
+        elif number or (number is None and missing):
+            kinds[name] = "double"
+        elif truth and not missing:
+            kinds[name] = "boolean"
+    return kinds
+
+
 def _no_surplus(fields: int) -> Column:
     """True, or an error for a record that has more fields than the header.
 
@@ -148,7 +199,7 @@ def _iso(field: Column) -> Column:
     """Month-first slashes as an ISO date, with the time of day, if any, to the second."""
     parts = F.split(field, "[/ ]")
     date = F.concat_ws("-", F.get(parts, F.lit(2)), F.lpad(F.get(parts, F.lit(0)), 2, "0"), F.lpad(F.get(parts, F.lit(1)), 2, "0"))
-    dashed = F.when(field.rlike(r"^\d{1,2}/\d{1,2}/\d{4}($| )"), F.concat_ws(" ", date, F.get(parts, F.lit(3)))).otherwise(field)
+    dashed = F.when(field.rlike(_SLASHED), F.concat_ws(" ", date, F.get(parts, F.lit(3)))).otherwise(field)
     # A time of day without seconds has one colon.
     return F.when(dashed.rlike(r"^[^:]*\d:\d{2}$"), F.concat(dashed, F.lit(":00"))).otherwise(dashed)
 
