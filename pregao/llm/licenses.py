@@ -16,7 +16,8 @@ two-word grams vote.
 Everything is DataFrame code. Templates are a parameter of the program, refused beyond
 ``MAX_TEMPLATE_WORDS`` words, so their table is bounded whatever the corpus. Grams that hit nothing
 end in the task that makes them; hits are few rows and combine before they are shuffled. Texts are
-read twice, and shuffled only if the candidate spans are too large for Spark to broadcast.
+read twice. Candidate spans of up to ``BROADCAST_BYTES`` in all are broadcast to them; if there are
+more, texts and spans are shuffled once to meet.
 
 Defined results: a null or empty text has no words, no places, no labels and score 0; rows that
 share id and text have equal results; a null id is an id like any other; an empty table gives no
@@ -38,7 +39,8 @@ from pregao.session import materialise
 
 SLACK = 3
 MIN_SHARE = 0.8
-MAX_TEMPLATE_WORDS = 50_000
+MAX_TEMPLATE_WORDS = 20_000
+BROADCAST_BYTES = 64_000_000
 
 # What stands between words: ASCII but digits and small letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -166,14 +168,14 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_id"),
         F.xxhash64(F.col(key).isNull(), whole).alias("_h1"),
         F.xxhash64(F.lit(1), whole).alias("_h2"),
-        words(text).alias("_words"),
+        F.col(text).alias("_text"),
     )
 
 
 def spans(keyed: DataFrame, table: DataFrame) -> DataFrame:
     """(row key, template, low, high): candidate spans from their least to their greatest diagonal."""
     # A row per word; the templates are bounded by MAX_TEMPLATE_WORDS.
-    rolled = keyed.select(*_KEY, F.posexplode(let(F.col("_words"), grams)))
+    rolled = keyed.select(*_KEY, F.posexplode(let(words("_text"), grams)))
     rolled = rolled.select(*_KEY, F.col("pos"), F.col("col.two").alias("two"), F.col("col.three").alias("_three"))
     hits = rolled.join(F.broadcast(_template_grams(table)), "two")
     hits = hits.filter(F.col("three").isNull() | (F.col("three") == F.col("_three")))
@@ -188,17 +190,43 @@ def spans(keyed: DataFrame, table: DataFrame) -> DataFrame:
     return enough.select(*_KEY, "template", "low", "high")
 
 
-def _verified(text_words: Column, span: Column) -> Column:
+def _verified(found: Column, template: Column, span: Column) -> Column:
     """Share of the template's words that the text has at or beside the span's diagonals."""
-    slack = F.when(span["phrase"], 0).otherwise(SLACK)
+    slack = F.when(template["phrase"], 0).otherwise(SLACK)
     band = F.sequence(span["low"] - slack, span["high"] + slack)
 
     def counts(word: Column, place: Column) -> Column:
-        here = lambda d: (d + place >= 0) & (F.get(text_words, F.greatest(d + place, F.lit(0))) == word)
+        here = lambda d: (d + place >= 0) & (F.get(found, F.greatest(d + place, F.lit(0))) == word)
         return F.exists(band, lambda d: F.coalesce(here(d), F.lit(False)))
 
-    hit = F.transform(span["template_words"], counts)
-    return F.size(F.filter(hit, lambda h: h)) / F.size(span["template_words"])
+    hit = F.transform(template["words"], counts)
+    return F.size(F.filter(hit, lambda h: h)) / F.size(template["words"])
+
+
+def _measured(found: Column, candidates: Column, templates: list[Template]) -> Column:
+    """The verified of a text's candidate spans, by start."""
+
+    def quoted(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    rows = [
+        f"struct({quoted(t.label)} AS label, {str(t.phrase).lower()} AS phrase, array({','.join(map(quoted, t.words))}) AS words)"
+        for t in templates
+    ]
+    known = F.expr(f"array({','.join(rows)})")
+
+    def measured(s: Column) -> Column:
+        t = F.get(known, s["template"])
+        return F.struct(
+            F.greatest(s["low"], F.lit(0)).alias("start"),
+            F.least(s["high"] + F.size(t["words"]), F.size(found)).alias("end"),
+            t["label"].alias("label"),
+            t["phrase"].alias("phrase"),
+            _verified(found, t, s).alias("share"),
+        )
+
+    right = F.filter(F.transform(candidates, measured), lambda s: s["share"] >= F.when(s["phrase"], 1.0).otherwise(MIN_SHARE))
+    return F.array_sort(right)
 
 
 def found_spans(docs: DataFrame, templates: list[Template] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,26 +234,19 @@ def found_spans(docs: DataFrame, templates: list[Template] | None = None, key: s
 
     Spans are sorted by start. The start of a span is its least diagonal, but at least 0.
     """
-    table = _template_table(docs.sparkSession, templates or standard_templates())
+    templates = templates or standard_templates()
+    table = _template_table(docs.sparkSession, templates)
     keyed = _keyed(docs, key, text)
-    candidates = spans(keyed, table).join(F.broadcast(table), "template")
-    entry = F.struct("label", "phrase", "template_words", "low", "high")
-    listed = materialise(candidates.groupBy(*_KEY).agg(F.collect_list(entry).alias("_spans")), "license-spans")
-    # The spans of few rows; beyond its broadcast threshold Spark shuffles both sides.
-    rows = keyed.join(listed, list(_KEY), "left")
-    measured = F.transform(
-        "_spans",
-        lambda s: F.struct(
-            F.greatest(s["low"], F.lit(0)).alias("start"),
-            F.least(s["high"] + F.size(s["template_words"]), F.size("_words")).alias("end"),
-            s["label"].alias("label"),
-            s["phrase"].alias("phrase"),
-            _verified(F.col("_words"), s).alias("share"),
-        ),
-    )
-    right = F.filter(measured, lambda s: s["share"] >= F.when(s["phrase"], 1.0).otherwise(MIN_SHARE))
-    empty = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, label: STRING, phrase: BOOLEAN, share: DOUBLE>>)")
-    return rows.select("doc_id", F.size("_words").cast("long").alias("n_words"), F.coalesce(F.array_sort(right), empty).alias("spans"))
+    entry = F.struct("template", "low", "high")
+    listed = spans(keyed, table).groupBy(*_KEY).agg(F.collect_list(entry).alias("_spans"))
+    listed = materialise(listed, "license-spans")
+    # Rows as they lie in memory: a key of two numbers and the id, and the spans.
+    size = listed.agg(F.sum(F.octet_length("_id") + 64 + 32 * F.size("_spans"))).first()[0] or 0
+    rows = keyed.join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed, list(_KEY), "left")
+    rows = rows.withColumn("_words", words("_text"))
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, label: STRING, phrase: BOOLEAN, share: DOUBLE>>)")
+    checked = F.when(F.col("_spans").isNull(), none).otherwise(_measured(F.col("_words"), F.col("_spans"), templates))
+    return rows.select("doc_id", F.size("_words").cast("long").alias("n_words"), checked.alias("spans"))
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -131,3 +131,17 @@ def test_no_python_on_the_main_path(spark):
     docs = spark.createDataFrame([(1, "all rights reserved")], "doc_id long, text string")
     plan = licenses.summary(licenses.found_spans(docs))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_spans_too_large_to_broadcast_are_shuffled(spark, monkeypatch):
+    rows = [(i % 40, f"a {'x ' * (i % 7)}all rights reserved {MIT}") for i in range(120)] + [(None, None), (None, "cc by")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small = sorted(map(str, licenses.found_spans(docs).collect()))
+    monkeypatch.setattr(licenses, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = licenses.found_spans(docs)
+        assert sorted(map(str, large.collect())) == small
+        assert "SortMergeJoin" in large._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
