@@ -21,9 +21,12 @@ as often as they occur; an empty table gives no rows; extra columns are not look
 
 from __future__ import annotations
 
+import array
 import bisect
+import functools
 import itertools
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -41,19 +44,40 @@ CAPACITY = 4096
 END_TOKEN = 1
 BINS = 256
 SLICE_BYTES = 12_000_000  # text tokenized at once
+KNOWN_PARTS = 400_000  # word parts whose ids a process remembers, about 100 MB
 
-_tokenizers: dict = {}
 
+class WordTokenizer:
+    """A tokenizer file, used as it is, with the ids of the word parts that were seen first.
 
-def tokenizer(path: str):
-    """The tokenizer of a file, loaded once per process; control strings in texts are plain text."""
-    if path not in _tokenizers:
+    Ids do not depend on what is remembered.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        # Strings that the tokenizer looks for before it does anything else.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "(?i)" + "|".join(re.escape(a) for a in added) if added else None
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part encoded alone, as 32-bit numbers one after another."""
+        found = [self.known.get(p) for p in parts]
+        new = [i for i, f in enumerate(found) if f is None]
+        for i, e in zip(new, self.tokenizer.encode_batch_fast([parts[i] for i in new], add_special_tokens=False), strict=True):
+            found[i] = array.array("I", e.ids).tobytes()
+            if len(self.known) < KNOWN_PARTS:
+                self.known[parts[i]] = found[i]
+        return found
+
+
+@functools.cache
+def tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of a file, loaded once per process."""
+    return WordTokenizer(path)
 
 
 def _gather(ids: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,19 +87,23 @@ def _gather(ids: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np.n
     return ids[np.repeat(starts[picks] - ends[:-1], picked) + np.arange(ends[-1])], ends
 
 
-def _word_parts(words: pa.Array) -> pa.Array:
+def _word_parts(words: pa.Array, added: str | None) -> pa.Array:
     """Each word as parts that are encoded alone: ASCII punctuation after a Latin letter, and the rest.
 
     The tokenizer cuts there anyway and lowers case anyway, so this only makes more words alike.
     (Some letters of other scripts normalise to a letter and a mark, which joins the punctuation.)
     Words with combining marks keep their case, since lowering it first may change how they compose.
+    Words that hold an ``added`` string of the tokenizer, in any case, stay as they are.
     """
     plain = pc.invert(pc.match_substring_regex(words, r"\pM"))
     lowered = pc.if_else(plain, pc.ascii_lower(words), words)
-    return pc.split_pattern(pc.replace_substring_regex(lowered, r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])", r"\1 \2"), " ")
+    cut = pc.replace_substring_regex(lowered, r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])", r"\1 \2")
+    if added:
+        cut = pc.if_else(pc.match_substring_regex(words, added), words, cut)
+    return pc.split_pattern(cut, " ")
 
 
-def token_ids(tok, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(tok: WordTokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts in a row, and where each text begins (one more entry than texts).
 
     For tokenizers that lower case and never join what white space or a letter and a following
@@ -83,12 +111,11 @@ def token_ids(tok, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     words = pc.ascii_split_whitespace(texts)
     coded = words.flatten().dictionary_encode()
-    parts = _word_parts(coded.dictionary)
+    parts = _word_parts(coded.dictionary, tok.added)
     distinct = parts.flatten().dictionary_encode()
-    found = [e.ids for e in tok.encode_batch_fast(distinct.dictionary.to_pylist(), add_special_tokens=False)]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
-    ids, ends = _gather(ids, sizes, distinct.indices.to_numpy())
+    found = tok.ids(distinct.dictionary.to_pylist())
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    ids, ends = _gather(np.frombuffer(b"".join(found), np.uint32), sizes, distinct.indices.to_numpy())
     per_word = np.diff(ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
     flat, ends = _gather(ids, per_word, coded.indices.to_numpy())
     return flat, ends[words.offsets.to_numpy() - words.offsets[0].as_py()]

@@ -18,7 +18,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -48,7 +47,7 @@ def check(rows, out, capacity=4096):
 
 def test_query_over_odd_texts(spark, tmp_path):
     rng = random.Random(8)
-    words = ["alpha", "Straße", "ÉTÉ", "don't", "x1y2", "🙂👍", "漢字かな", "áb", "́c", "ΣΑΣ", "<|endoftext|>", "...", "İi", "ﬁ"]
+    words = ["alpha", "Straße", "ÉTÉ", "don't", "x1y2", "🙂👍", "漢字かな", "áb", "́c", "ΣΑΣ", "<|endoftext|>", "a<|startoftext|>É<|endoftext|>", "<|ENDofTEXT|>", "x<|endoftext|", "...", "İi", "ﬁ"]
     blanks = [" ", "  ", "\n", "\t", "\x0b", "\x0c", "\r\n", " ", " ", "\x85", "​"]
     rows = [(i, "".join(rng.choice(words) + rng.choice(blanks) for _ in range(rng.randint(0, 700))), "en", "s", 1) for i in range(50)]
     rows += [(60, None, "en", "s", 0), (61, "", "en", "s", 0), (61, "", "en", "s", 0), (None, " \n", "en", "s", 2)]
@@ -117,3 +116,14 @@ def test_whole_sequences(spark):
     whole = [i for r in packing.sequences(packed).collect() for i in r["ids"]]
     assert sorted(whole) == sorted(ids_of("a b c d e") + ids_of("f g") + ids_of("h"))
     assert all(len(r["ids"]) <= 4 for r in packing.sequences(packed).collect())
+
+
+def test_ids_are_those_of_the_file(monkeypatch):
+    """Control strings too, and whatever a process remembers."""
+    texts = ["<|endoftext|> hi", "hi<|startoftext|>there", "<|ENDOFTEXT|>", "Don't<|endoftext|>'s", "a<|endoftext|>\u0301b É<|endoftext|>", "", " "]
+    for known in (0, 3, 400_000):
+        monkeypatch.setattr(packing, "KNOWN_PARTS", known)
+        tok = packing.WordTokenizer(PATH)
+        for _ in range(2):
+            flat, ends = packing.token_ids(tok, pa.array(texts))
+            assert [flat[a:b].tolist() for a, b in itertools.pairwise(ends)] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
