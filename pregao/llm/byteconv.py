@@ -5,10 +5,11 @@ over the bytes of a chunk, and each filter's largest response in the chunk is it
 feature. A hidden layer reads the features; its units are combined over all chunks
 of the text (their mean and their largest value) into one logit and so one probability.
 
-Training takes a bounded sample of labelled rows (``SAMPLE_ROWS`` per class and
-``SAMPLE_BYTES`` in all, by hash of the id, so reruns and row order do not matter) with
-class weights that restore the shares of all labelled rows. Scoring covers every byte of
-every text, a bounded number of chunks at a time.
+Training takes a bounded sample of labelled rows with class weights that restore the shares of
+all labelled rows. Each class gives at most ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES / 2`` bytes, by
+hash of the id, so reruns and row order do not matter, and neither class can use up the other's share;
+of a text of more than ``EXCERPT`` characters so many are trained on, from a place that the hash
+says. Scoring covers every byte of every text, a bounded number of chunks at a time.
 
 Defined results: a null text counts as empty and gets the score of a text without any
 filter response; equal texts have equal scores; an empty table gives no rows; without
@@ -18,8 +19,6 @@ labelled rows of both classes every score is that of the one class, or 1 without
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +27,7 @@ from pyspark.sql.window import Window
 
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 12_000_000
+EXCERPT = 1 << 15  # characters, of a training text
 EPOCHS = 8
 LEAST_STEPS = 400  # a small sample is gone through more often
 BATCH_DOCS = 32
@@ -124,8 +124,11 @@ def _units(net: Network, codes: np.ndarray, halves: np.ndarray) -> np.ndarray:
     return np.maximum(feature @ net.hidden + net.hidden_bias, 0)
 
 
-def score(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Probability of label 1 per text. A long text is scored in overlapping blocks of chunks."""
+def score(net: Network, texts: list[bytes] | pa.Array) -> np.ndarray:
+    """Probability of label 1 per text. A long text is scored in overlapping blocks of chunks.
+
+    Of an Arrow array one text at a time is copied.
+    """
     width = HALF * STRIDE
     result = np.empty(len(texts))
 
@@ -134,6 +137,7 @@ def score(net: Network, texts: list[bytes]) -> np.ndarray:
         result[index] = 1 / (1 + np.exp(-float(logit)))
 
     for index, text in enumerate(texts):
+        text = text if isinstance(text, bytes) else text.as_py() or b""
         total, peak, chunks = np.zeros(HIDDEN), np.zeros(HIDDEN, np.float32), 0
         at = 0
         while at < len(text):
@@ -247,28 +251,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", epochs: int
     chosen = each[0].unionByName(each[1])
     # At most 2 * SAMPLE_ROWS rows are broadcast, and as many kept even if documents repeat an id.
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), "doc_id")
-    texts = texts.withColumn("_bytes", F.octet_length("_text")).filter(F.col("_bytes") <= SAMPLE_BYTES)
+    start = F.pmod(F.xxhash64("_hash"), F.greatest(F.length("_text") - EXCERPT, F.lit(0)) + 1) + 1
+    texts = texts.withColumn("_text", F.substring("_text", start.cast("int"), F.lit(EXCERPT)))
+    texts = texts.withColumn("_bytes", F.octet_length("_text"))
     texts = texts.orderBy("_hash", "doc_id", "_label", "_bytes").limit(2 * SAMPLE_ROWS)
-    before = Window.orderBy("_hash", "doc_id", "_label", "_bytes").rowsBetween(Window.unboundedPreceding, 0)
-    taken = texts.withColumn("_sum", F.sum("_bytes").over(before)).filter(F.col("_sum") <= SAMPLE_BYTES).collect()
+    before = Window.partitionBy("_label").orderBy("_hash", "doc_id", "_bytes").rowsBetween(Window.unboundedPreceding, 0)
+    # An excerpt is far smaller than a class's share, so each class has rows.
+    taken = texts.withColumn("_sum", F.sum("_bytes").over(before)).filter(F.col("_sum") <= SAMPLE_BYTES // 2)
+    taken = taken.orderBy("_hash", "doc_id", "_label", "_bytes").collect()
     found = {v: sum(r["_label"] == v for r in taken) for v in (0, 1)}
-    if not found[0] or not found[1]:
-        return constant(bool(found[1]))
     values = np.array([r["_label"] for r in taken], np.float32)
     weights = np.where(values == 1, good / found[1], bad / found[0]).astype(np.float32)
     return train([r["_text"].encode() for r in taken], values, weights / weights.mean(), good / (good + bad), epochs)
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], net: Network, carry: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("_scored").cast(pa.binary())
-        scores = score(net, [t.as_py() or b"" for t in texts])
-        yield pa.record_batch([*[batch.column(n) for n in carry], pa.array(scores)], names=[*carry, "score"])
+def scored(docs: DataFrame, net: Network, carry: list[str]) -> DataFrame:
+    """``carry`` columns and ``score`` of every row; an old column of that name is replaced.
 
+    Only texts go to Python, and only scores come back.
+    """
 
-def scored(docs: DataFrame, net: Network, carry: list[str]) -> DataFrame:
-    """``carry`` columns and ``score`` of every row; an old column of that name is replaced."""
-    carry = [c for c in carry if c != "score"]
-    rows = docs.select(*carry, F.col("text").alias("_scored"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_scored")
-    return rows.mapInArrow(lambda batches: _score_batches(batches, net, carry), f"{schema}, score double")
+    @F.arrow_udf("double")
+    def quality(texts: pa.Array) -> pa.Array:
+        return pa.array(score(net, texts.cast(pa.binary())))
+
+    return docs.select(*[F.col(c) for c in carry if c != "score"], quality(F.col("text")).alias("score"))

@@ -79,3 +79,42 @@ def test_odd_rows(spark, tmp_path):
     assert b.score(net, [b"", b"x"]).min() > 0.99
     empty = spark.read.parquet(f"{folder}/documents.parquet").filter(F.lit(False))
     assert b.scored(empty.withColumn("score", F.lit("clash")), net, ["doc_id"]).collect() == []
+
+
+def plain_score(net, text):
+    """The network by loops over chunks, positions and bytes."""
+    span, n = b.HALF * b.STRIDE, len(text)
+    halves = -(-n // span)
+    starts = range(0, max(halves - 1, 1) * span, span) if n else []
+    units = []
+    for at in starts:
+        feature = np.full(b.FILTERS, -np.inf)
+        for position in range(b.CHUNK):
+            first = at + position * b.STRIDE
+            codes = [text[i] if i < n else 256 for i in range(first, first + 2 * b.STRIDE)]
+            seen = np.concatenate([net.embed[c] for c in codes]).astype(np.float64)
+            feature = np.maximum(feature, np.maximum(seen @ net.filters + net.filter_bias, 0))
+        units.append(np.maximum(feature @ net.hidden + net.hidden_bias, 0))
+    mean = np.mean(units, axis=0) if units else np.zeros(b.HIDDEN)
+    peak = np.max(units, axis=0) if units else np.zeros(b.HIDDEN)
+    logit = net.out_bias[0] + mean @ net.out[: b.HIDDEN] + peak @ net.out[b.HIDDEN :]
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_scores_of_a_table_equal_a_plain_forward_pass(spark):
+    rng = np.random.default_rng(5)
+    net = b.new_network(0.4)
+    texts = [None, "", "é"] + ["".join(map(chr, rng.integers(32, 300, n))) for n in (1, 5, 127, 128, 129, 256, 300, 700, 1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in b.scored(docs, net, ["doc_id", "text"]).collect():
+        assert r["score"] == pytest.approx(plain_score(net, (r["text"] or "").encode()), abs=1e-5)
+
+
+def test_one_huge_text_does_not_end_the_sample(spark):
+    rows = [(i, "fine words in a row " * 5) for i in range(200)] + [(1000 + i, "!!#%" * 25) for i in range(200)]
+    labels = [(i, int(i < 1000)) for i, _ in rows]
+    for huge, text in ((0, "fine words in a row " * 600_000), (1000, "!!#%" * 3_000_000)):
+        docs = spark.createDataFrame([(i, text if i == huge else t) for i, t in rows], "doc_id long, text string")
+        net = b.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+        good, bad, long = b.score(net, [b"fine words in a row " * 5, b"!!#%" * 25, text.encode()])
+        assert good > 0.9 and bad < 0.1 and (long > 0.9) == (huge == 0)
