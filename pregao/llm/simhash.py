@@ -68,12 +68,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
     for batch in batches:
         found = [fingerprint(t.as_py() or b"", shingle) for t in batch.column("text").cast(pa.binary())]
         signed = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
-        columns = [batch.column(c) for c in ("doc_id", "no_id", "key")]
-        yield pa.record_batch([*columns, signed], names=["doc_id", "no_id", "key", "fingerprint"])
+        names = ["doc_id", "no_id", "key", "text_hash"]
+        yield pa.record_batch([*[batch.column(c) for c in names], signed], names=[*names, "fingerprint"])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, no_id, key, fingerprint) of every row, the 64 bits as a signed long.
+    """(doc_id, no_id, key, text_hash, fingerprint) of every row, the 64 bits as a signed long.
 
     ``key`` is the doc_id, or for rows without one (``no_id``) a hash of the text.
     """
@@ -81,10 +81,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("doc_id").isNull().alias("no_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"),
+        F.xxhash64("text").alias("text_hash"),
         "text",
     )
     return rows.mapInArrow(
-        lambda batches: _fingerprints(batches, shingle), "doc_id long, no_id boolean, key long, fingerprint long"
+        lambda batches: _fingerprints(batches, shingle),
+        "doc_id long, no_id boolean, key long, text_hash long, fingerprint long",
     )
 
 
@@ -239,14 +241,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each group of near-duplicate documents: that of the least doc_id.
 
-    Rows without a doc_id come after all others, by a hash of their text; of rows with the
-    same id the one with the least text hash stays.
+    Rows without a doc_id come after all others, by a hash of their text; of a group's rows with
+    the same least id the one with the least text hash stays. Unlike documents that share an
+    id are in groups of their own, so each of them stays.
     """
-    _, _, firsts = _classes(docs, shingle, max_bits)
+    prints, named, firsts = _classes(docs, shingle, max_bits)
     keyed = docs.withColumns(
-        {"_none": F.col("doc_id").isNull(), "_key": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))}
+        {
+            "_none": F.col("doc_id").isNull(),
+            "_key": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")),
+            "_hash": F.xxhash64("text"),
+        }
     )
-    firsts = firsts.select(F.col("no_id").alias("_none"), F.col("key").alias("_key"))
-    rows = Window.partitionBy("_none", "_key").orderBy(F.xxhash64("text"))
-    kept = keyed.join(firsts, ["_none", "_key"], "left_semi").withColumn("_row", F.row_number().over(rows))
-    return kept.filter("_row = 1").select(docs.columns)
+    # Which text of a group's least key stays: the hashes of all texts of that key, of which few are in one group.
+    wanted = firsts.select("component", F.col("no_id").alias("_none"), F.col("key").alias("_key"))
+    members = prints.select(F.col("no_id").alias("_none"), F.col("key").alias("_key"), "text_hash", "fingerprint").join(named, "fingerprint")
+    chosen = members.join(wanted, ["component", "_none", "_key"]).groupBy("component", "_none", "_key").agg(F.min("text_hash").alias("_hash"))
+    # Rows of one id and text are alike, so any one of them will do; a group of copies has many ids.
+    rows = Window.partitionBy("_none", "_key", "_hash").orderBy(F.lit(0))
+    kept = keyed.join(chosen.select("_none", "_key", "_hash"), ["_none", "_key", "_hash"], "left_semi")
+    return kept.withColumn("_row", F.row_number().over(rows)).filter("_row = 1").select(docs.columns)

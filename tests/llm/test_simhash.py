@@ -110,3 +110,12 @@ def test_keep_first(spark):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] or 0, r["fingerprint"]) for r in kept.collect()) == [(0, "n"), (1, "y"), (8, "a"), (9, "b")]
     assert simhash.keep_first(df.filter(F.lit(False))).collect() == []
+
+
+def test_unlike_documents_that_share_an_id_all_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [(1, t) for t in texts[:3]] + [(2, texts[3]), (None, texts[4]), (None, texts[5])]
+    rows += [(1, texts[0]), (1, texts[1] + " b59"), (9, texts[5]), (1, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"][0]) for r in simhash.keep_first(df).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a"), (1, "b"), (1, "c"), (2, "d"), (None, "e"), (9, "f")], key=str)
