@@ -53,7 +53,8 @@ def _store(rows: DataFrame, path: str, mode: str, overwrite: str) -> None:
 
 def _laid_out(df: DataFrame, partitions: int | None) -> DataFrame:
     layout = (F.col("data"),) if partitions is None else (partitions, F.col("data"))
-    return df.hint("rebalance", *layout).sortWithinPartitions("data", F.expr(three_letter_root()), "hora")
+    order = ["data", *[F.expr(three_letter_root())] * ("codigo" in df.columns), "hora"]
+    return df.hint("rebalance", *layout).sortWithinPartitions(*order)
 
 
 def load_days(
