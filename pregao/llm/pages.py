@@ -6,7 +6,9 @@ after it, and what encloses it. A decision tree, trained on the small labelled t
 says which blocks are main text.
 
 Defined results: null html is an empty page, whose text is empty; a page without any main
-block has an empty text; unclosed tags, comments and scripts end with the page; repeated
+block has an empty text; unclosed tags, comments and scripts end with the page, other hidden
+elements without end at the next block; class words do not speak against the elements around the
+page's largest article (``_acquit``); repeated
 rows are rows of their own; an empty table gives no rows; other columns are not looked at.
 """
 
@@ -28,6 +30,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
+NOT_MARKUP = frozenset("script style noscript template textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math select button object video audio canvas".split())
 BOILER_TAGS = frozenset("nav aside footer header form menu dialog fieldset".split())
@@ -35,9 +38,10 @@ BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar aside widget footer header masthead topbar toolbar cookie cookies consent gdpr notice "
     "notices notification alert popup modal overlay newsletter subscribe subscription signup login form search share sharing "
-    "social related recommended recommendations comment comments commentlist respond replies reply disqus pagination pager "
+    "social related recommended recommendations comment comments commentlist respond replies reply disqus opinions pagination pager "
     "tags copyright legal disclaimer".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist respond replies reply disqus opinions".split())
 MAIN_TAGS = frozenset(["article", "main"])
 MAIN_WORDS = frozenset("article main content post entry story body".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
@@ -47,6 +51,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+)>", re.S
 )
+UNCLOSED = re.compile(r"()()<(?:!--|[!?]).*()\Z", re.S)  # a comment without end, past the last ">"
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
@@ -55,6 +60,17 @@ WORD = re.compile(r"[a-z]+")
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boiler", "main", "heading")
 
 
+@dataclasses.dataclass
+class Element:
+    """An open element: whether it looks like page furniture or holds main text, and what may be said against that."""
+
+    tag: str
+    boiler: int = 0
+    main: int = 0
+    holder: bool = False  # is named as the main text
+    doubtful: bool = False  # furniture by name only
+
+
 @dataclasses.dataclass
 class Block:
     text: str
@@ -63,32 +79,67 @@ class Block:
     boiler: int
     main: int
     heading: int
+    inside: tuple[Element, ...] = ()
 
 
-def _marks(tag: str, attributes: str) -> tuple[int, int]:
-    """Whether an element looks like page furniture, and like a holder of main text."""
-    words: set[str] = set()
+def _marks(tag: str, attributes: str) -> Element:
+    """Whether an element looks like page furniture, and like a holder of main text.
+
+    Furniture is doubtful if the element is named as main text too, is a form, or has furniture words
+    only as parts of longer names ("has-sidebar") that do not speak of comments.
+    """
+    names: set[str] = set()
     if attributes and tag not in ("html", "body"):
         for m in NAMES.finditer(attributes):
-            words.update(WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-    main = tag in MAIN_TAGS or bool(words & MAIN_WORDS)
-    return int(tag in BOILER_TAGS or (tag != "main" and bool(words & BOILER_WORDS))), int(main)
+            names.update((m[1] or m[2] or m[3] or "").lower().split())
+    words = {w for n in names for w in WORD.findall(n)}
+    found = words & BOILER_WORDS
+    boiler = tag in BOILER_TAGS or (tag != "main" and bool(found))
+    holder = tag in MAIN_TAGS or bool(names & MAIN_WORDS)
+    parts = tag not in BOILER_TAGS and not names & BOILER_WORDS and not found & COMMENT_WORDS
+    return Element(tag, int(boiler), int(tag in MAIN_TAGS or bool(words & MAIN_WORDS)), holder, holder or tag == "form" or parts)
+
+
+def _acquit(found: list[Block]) -> None:
+    """Take the mark from doubtful elements around the page's largest holder of main text.
+
+    The holder must have more words outside links than stand in all unmarked blocks elsewhere.
+    """
+    plain: dict[int, float] = {}
+    chains: dict[int, tuple[Element, ...]] = {}
+    clean = 0.0
+    for b in found:
+        words = b.words * (1 - b.density)
+        marked = max((k for k, e in enumerate(b.inside) if e.boiler), default=-1)
+        if marked < 0:
+            clean += words
+        elif all(e.doubtful for e in b.inside if e.boiler):
+            for k, e in enumerate(b.inside):
+                # Only what stands in no other marked element below counts for the holder.
+                if e.holder and marked <= k:
+                    plain[id(e)] = plain.get(id(e), 0.0) + words
+                    chains[id(e)] = b.inside[: k + 1]
+    best = max(plain, key=lambda k: plain[k], default=None)
+    if best is not None and plain[best] > clean:
+        for e in chains[best]:
+            e.boiler = 0
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order, without empty ones."""
     found: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # open block-level elements
+    stack: list[Element] = []  # open block-level elements
     parts: list[str] = []
-    linked = links = at = 0
+    linked = links = at = 0  # ``links`` is one more than the elements open when the link began
+    last = page.rfind(">") + 1
 
     def close() -> None:
         nonlocal parts, linked
         words = "".join(parts).split()
         if words:
-            heading = int(any(t in HEADINGS for t, _, _ in stack[-2:]))
-            boiler, main = (int(any(s[k] for s in stack)) for k in (1, 2))
-            found.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), boiler, main, heading))
+            heading = int(any(e.tag in HEADINGS for e in stack[-2:]))
+            main = int(any(e.main for e in stack))
+            found.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), 0, main, heading, tuple(stack)))
         parts, linked = [], 0
 
     def text(piece: str) -> None:
@@ -99,7 +150,8 @@ def blocks(page: str) -> list[Block]:
             linked += len(piece.split())
 
     while True:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last) if at < last else None
+        m = m or UNCLOSED.search(page, max(at, last))
         if not m:
             text(page[at:])
             break
@@ -110,7 +162,7 @@ def blocks(page: str) -> list[Block]:
         opening = not m[1]
         if tag in INLINE:
             if tag == "a":
-                links = int(opening)
+                links = len(stack) + 1 if opening else 0
             elif tag == "br":
                 parts.append(" ")
             if opening and tag not in VOID and m[3] and _hidden(m[3]):
@@ -122,18 +174,23 @@ def blocks(page: str) -> list[Block]:
                 at = _skip(page, tag, at)
             continue
         close()
-        links = 0
         if opening:
-            while stack and stack[-1][0] in SELF_CLOSING:
+            while stack and stack[-1].tag in SELF_CLOSING:
                 stack.pop()
-            if stack and stack[-1][0] in SIBLINGS.get(tag, ()):
+            if stack and stack[-1].tag in SIBLINGS.get(tag, ()):
                 stack.pop()
+            # A link holds blocks, but ends with the element in which it began.
+            links = links if links <= len(stack) + 1 else 0
             if tag not in VOID:
-                stack.append((tag, *_marks(tag, m[3])))
-        elif any(s[0] == tag for s in stack):
-            while stack.pop()[0] != tag:
+                stack.append(_marks(tag, m[3]))
+        elif any(e.tag == tag for e in stack):
+            while stack.pop().tag != tag:
                 pass
+            links = links if links <= len(stack) + 1 else 0
     close()
+    _acquit(found)
+    for b in found:
+        b.boiler = int(any(e.boiler for e in b.inside))
     return found
 
 
@@ -172,7 +229,10 @@ def _skip_implied(page: str, tag: str, at: int) -> int:
 
 
 def _skip(page: str, tag: str, at: int) -> int:
-    """Place after the element's end tag, nested elements of that name included; the page's end if there is none."""
+    """Place after the element's end tag, nested elements of that name included.
+
+    Without an end tag, what is not markup ends with the page, another element at the next block-level tag.
+    """
     if tag == "p" or tag in SIBLINGS:
         return _skip_implied(page, tag, at)
     depth = 1
@@ -181,7 +241,9 @@ def _skip(page: str, tag: str, at: int) -> int:
         depth += -1 if m[1] else int(tag not in ("script", "style", "textarea", "title"))
         if not depth:
             return m.end()
-    return len(page)
+    if tag in NOT_MARKUP:
+        return len(page)
+    return next((m.start() for m in TOKEN.finditer(page, at) if m[2] and m[2].lower() not in INLINE), len(page))
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -290,6 +352,20 @@ LABELLED: list[tuple[str, str]] = [
         f"<p><a href=1>Skip to text</a></p><p>{_MORE}</p><p>{_LONG}</p><p>It opened in <a href=2>March</a>, after a long and costly repair of the roof and the floor.</p><p><a href=4>See all pictures</a></p><p>{_LONG}</p>",
         "011101",
     ),
+    # Without class words: headlines of other stories are long but linked, short lines belong to their neighbours.
+    (
+        f"<div><a href=1>{_LONG}</a></div><div><a href=2>{_MORE}</a></div><div>{_MORE}</div><div>{_SHORT}</div><div>{_LONG}</div><div>{_MORE} <a href=5>Map</a></div>"
+        f"<div><a href=3>{_MORE}</a></div><div><a href=4>{_LONG} {_SHORT}</a></div>",
+        "00" "1111" "00",
+    ),
+    (
+        f"<p><a href=1>{_MORE}</a></p><p>{_LONG}</p><p>{_SHORT}</p><p>{_MORE}</p><p>Go on.</p><p>{_LONG}</p><p><a href=2>{_LONG}</a></p><p>All for you</p><p>Your town</p>",
+        "0" "11111" "000",
+    ),
+    (
+        f"<div><a href=1>{_LONG}</a></div><div><a href=2>{_MORE}</a></div><div><a href=3>{_LONG} {_SHORT}</a></div><div>{_LONG}</div><div>{_MORE}</div><div><a href=3>{_MORE} {_SHORT}</a></div>",
+        "000" "11" "0",
+    ),
     (f"<div class='popup'>{_LONG}</div><div role='navigation'><a href=1>Up</a></div><main><p>{_SHORT}</p></main><div class='legal'>{_MORE}</div>", "0" "0" "1" "0"),
 ]
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -90,3 +91,53 @@ def test_odd_rows(spark, tmp_path):
 def test_hidden_elements_end_and_names_only_hide(page):
     found = " ".join(b.text for b in pages.blocks(page))
     assert LONG in found and "x" not in found.split() and ("walk" in found) == ("walk" in page)
+
+
+ARTICLE = f"<article><h1>Market hall</h1><p>{pages._LONG}</p><p>{pages._MORE}</p></article>"
+ARTICLE_TEXT = f"Market hall\n{pages._LONG}\n{pages._MORE}"
+
+
+def used(tree):
+    return {pages.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3]) if isinstance(tree, tuple) else set()
+
+
+def test_tree_uses_link_density_and_neighbours():
+    assert {"density", "words_after"} <= used(pages.trained())
+    linked = f"<div><a href=1>{pages._LONG}</a></div><div><a href=2>{pages._MORE}</a></div>"
+    page = f"{linked}<div>{pages._MORE}</div><div>A vote is due.</div><div>{pages._LONG}</div>{linked}<div>A vote is due.</div>"
+    assert pages.main_text(page, pages.trained()) == f"{pages._MORE}\nA vote is due.\n{pages._LONG}"
+
+
+def test_class_words_do_not_condemn_the_article():
+    for page in [
+        f"<div class='layout has-sidebar'>{ARTICLE}</div>",
+        ARTICLE.replace("<article>", "<article class='post share-enabled'>"),
+        ARTICLE.replace("<article>", "<article class='post tag-news tags'>"),
+        ARTICLE.replace("<article>", "<article class='post comments-open'>"),
+        f"<div class='main no-sidebar'>{ARTICLE}</div>",
+        f"<form action=/><nav><a href=1>News</a></nav>{ARTICLE}<aside>{pages._LONG}</aside></form>",
+        f"<div class='layout has-sidebar'><div class=sidebar>{pages._LONG}</div>{ARTICLE}<div class=comments><article class=comment>{pages._LONG}</article></div></div>",
+    ]:
+        assert pages.main_text(page, pages.trained()) == ARTICLE_TEXT
+    comments = f"<div class=comments><article class='comment content'><p>{pages._MORE} {pages._MORE}</p></article></div>"
+    assert pages.main_text(f"<div><p>{pages._LONG}</p></div>{comments}", pages.trained()) == pages._LONG
+
+
+def test_links_around_blocks_and_reader_opinions_go():
+    tree = pages.trained()
+    assert pages.main_text(f"{ARTICLE}<a href=1><div>{pages._LONG}</div></a>", tree) == ARTICLE_TEXT
+    assert pages.main_text(f"{ARTICLE}<div class='user-opinions'><p>{pages._MORE}</p></div>", tree) == ARTICLE_TEXT
+    # A link without end ends with its element.
+    assert [b.density for b in pages.blocks("<p><a href=1>one two<p>three</p><div><a>x</div>y")] == [1, 0, 1, 0]
+
+
+def test_hidden_elements_without_end_leave_the_page():
+    for start in ("<button>", "<video>", "<object>x", "<div hidden>zz"):
+        assert pages.main_text(start + ARTICLE, pages.trained()) == ARTICLE_TEXT
+    assert pages.main_text("<script>" + ARTICLE, pages.trained()) == ""
+
+
+def test_tags_without_end_are_read_in_linear_time():
+    start = time.perf_counter()
+    assert len(pages.blocks('<a "xxx ' * 100_000)) == 1
+    assert time.perf_counter() - start < 5
