@@ -13,8 +13,8 @@ can be forged and ``parse`` gives back every turn as it was. The loss mask holds
 assistant text, without control strings and placeholders.
 
 Defined results: null texts, roles and lists of parts are empty; a part of null or
-unknown type counts as text; missing measures of an attachment count as zero, and every attachment
-has one token at least; turns that tie are ordered by role and content, null turns come
+unknown type counts as text; missing measures of an attachment, and durations that are no finite number, count as zero, and every
+attachment has one token at least; rows without conv_id are one conversation; turns that tie are ordered by role and content, null turns come
 first; an empty table gives no rows; extra columns are not looked at.
 """
 
@@ -106,7 +106,8 @@ class Flattener:
         return math.ceil((part.get("width") or 0) / TILE) * math.ceil((part.get("height") or 0) / TILE)
 
     def tokens_of_audio(self, part: dict) -> int:
-        return math.ceil((part.get("seconds") or 0) * AUDIO_TOKENS_A_SECOND)
+        seconds = part.get("seconds") or 0
+        return math.ceil(seconds * AUDIO_TOKENS_A_SECOND) if math.isfinite(seconds) else 0
 
     def tokens_of_document(self, part: dict) -> int:
         return (part.get("pages") or 0) * TOKENS_A_PAGE

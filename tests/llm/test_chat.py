@@ -97,3 +97,9 @@ def test_parts_become_ordered_placeholders(spark):
     assert [text[s["start"] : s["stop"]] for s in one["loss"]] == ["It ", "says\\\\!"]
     assert chat.parse(text) == [("user", ["<|look ", 0, "", 1, ""]), ("assistant", ["It ", 2, "says\\!", 3, ""])]
     assert two["formatted"] == "<|im_start|>user\n<|im_end|>\n" and two["attachments"] == []
+
+
+def test_durations_that_are_no_number_count_as_none():
+    sizes = [{"type": "audio", "seconds": x} for x in (float("nan"), float("inf"), float("-inf"), None, -3.0, 2.0)]
+    _, _, found = chat.format_turns([("user", sizes)])
+    assert [a.tokens for a in found] == [1, 1, 1, 1, 1, 2 * chat.AUDIO_TOKENS_A_SECOND]
