@@ -31,6 +31,7 @@ from pregao.session import materialise
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2
+PLACES = 256  # neighbouring places of a source and size that find their share together
 TOLERANCE = 1e-10
 ROUNDS = 100
 
@@ -144,16 +145,21 @@ def _round(rows: pd.DataFrame, most: int) -> pd.DataFrame:
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) per row of ``docs``.
+    """(doc_id, source, size, source_size, target, copies) per row of ``docs``."""
+    return _mixed(docs, weights, share, most).drop("_text")
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+    """The rows of ``mix``, and a hash of each text.
 
     A group for rounding is one source's distinct sizes, so its length is bounded by the
     longest text, not by the number of documents; rows of one source and size are told apart by
     their place in a table sorted by hash, however many they are.
     """
     keys = list(SOURCE)
-    measured = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    measured = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"))
     measured = materialise(_with_source(measured), "sizes")
-    order = [*map(F.col, keys), F.col("size"), F.xxhash64("doc_id"), F.col("doc_id")]
+    order = [*map(F.col, keys), F.col("size"), F.xxhash64("doc_id"), F.col("doc_id"), F.col("_text")]
     ranked = numbered(measured, order, "sizes-in-order")
     groups = materialise(
         ranked.groupBy(*keys, "size").agg(F.count(F.lit(1)).alias("rows"), F.min("_position").alias("first")), "size-counts"
@@ -168,26 +174,31 @@ def mix(
         lambda rows: _round(rows, most), "_none boolean, _source string, size long, copies_of_size long"
     )
     shares = rated.drop("rate", "mean", "tilt").join(whole, [*keys, "size"])
+    # Any number of rows may have one source and size, so shares go to stretches of their places.
+    stretch = F.expr(f"_position DIV {PLACES}").alias("_stretch")
+    stretches = F.sequence(F.expr(f"first DIV {PLACES}"), F.expr(f"(first + rows - 1) DIV {PLACES}"))
+    shares = shares.withColumn("_stretch", F.explode(stretches))
     place = F.col("_position") - F.col("first")
     copies = F.expr("copies_of_size DIV rows") + (place < F.expr("copies_of_size % rows")).cast("long")
-    return ranked.join(shares, [*keys, "size"]).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies")
+    return ranked.select("*", stretch).join(shares, [*keys, "size", "_stretch"]).select(
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "_text"
     )
 
 
 def copied(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    Rows that share id, source and size are dealt their copies in order of the text's hash.
+    Copies come back to rows of the same id, source and text; only rows that share all three meet in
+    a task, and which of them are copied more often is not told apart.
     """
-    keys = ["_id", *SOURCE, "_size"]
-    found = _with_source(mix(docs, weights, share, most))
+    keys = ["_id", *SOURCE, "_size", "_text"]
+    found = _with_source(_mixed(docs, weights, share, most))
     identity = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    times = found.groupBy(identity.alias("_id"), *SOURCE, F.col("size").alias("_size")).agg(
+    times = found.groupBy(identity.alias("_id"), *SOURCE, F.col("size").alias("_size"), "_text").agg(
         *[F.count_if(F.col("copies") >= c).alias(f"_at_least_{c}") for c in range(1, most + 1)]
     )
-    same = Window.partitionBy(*keys).orderBy(F.xxhash64("text"))
-    rows = _with_source(docs).withColumns({"_id": identity, "_size": word_count(F.col("text"))})
+    same = Window.partitionBy(*keys).orderBy("_text")
+    rows = _with_source(docs).withColumns({"_id": identity, "_size": word_count(F.col("text")), "_text": F.xxhash64("text")})
     rows = rows.join(times, keys).withColumn("_row", F.row_number().over(same))
     count = sum(((F.col("_row") <= F.col(f"_at_least_{c}")).cast("int") for c in range(1, most + 1)), F.lit(0))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), count))).filter("_copy > 0").select(docs.columns)

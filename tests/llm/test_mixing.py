@@ -103,3 +103,15 @@ def test_copied_rows(spark):
     for r, n in got.items():
         by_key[(r[0], r[2])] += n
     assert by_key == +expected
+
+
+def test_copies_go_to_the_texts_that_were_mixed(spark):
+    """A third of the rows without id, of one source and size, but of unlike texts; each is found again."""
+    rows = [(None, f"a{i} b c", "hot") for i in range(700)] + [(i, "w " * (1 + i % 9), "hot" if i % 2 else "z") for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(df)
+    assert mixed.columns == ["doc_id", "source", "size", "source_size", "target", "copies"]
+    copies = [r["copies"] for r in mixed.filter("doc_id IS NULL").collect()]
+    got = collections.Counter(r["text"] for r in mixing.copied(df).filter("doc_id IS NULL").collect())
+    assert len(copies) == 700 and 0 < sum(copies) == sum(got.values()) and max(got.values()) <= 2
+    assert collections.Counter(got.values()) == collections.Counter(c for c in copies if c)
