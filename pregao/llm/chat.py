@@ -14,7 +14,7 @@ assistant text, without control strings and placeholders.
 
 Defined results: null texts, roles and lists of parts are empty; a part of null or
 unknown type counts as text; missing measures of an attachment, and durations that are no finite number, count as zero, and every
-attachment has one token at least; rows without conv_id are one conversation; turns that tie are ordered by role and content, null turns come
+attachment has one token at least; a row without conv_id is a conversation of its own; turns that tie are ordered by role and content, null turns come
 first; an empty table gives no rows; extra columns are not looked at.
 """
 
@@ -177,14 +177,15 @@ ARROW = pa.schema(
 def formatted(messages: DataFrame) -> DataFrame:
     """One row per conversation of (conv_id, turn, role, parts): its text, loss mask and attachments.
 
-    A conversation is one text, so its turns meet in one task; nothing larger does.
+    A conversation is one text, so its turns meet in one task; nothing larger does. A row without
+    conv_id is a conversation of its own.
     """
     role = F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role")
     parts = F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS)).alias("parts")
-    turns = messages.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("turn"), role, parts))).alias("turns")
-    )
-    return turns.mapInArrow(_format, FORMATTED)
+    rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn"), role, parts).alias("row"))
+    several = rows.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
+    alone = rows.filter("conv_id IS NULL").select("conv_id", F.array("row").alias("turns"))
+    return several.unionByName(alone).mapInArrow(_format, FORMATTED)
 
 
 def text_messages(rows: DataFrame) -> DataFrame:

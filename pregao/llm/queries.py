@@ -228,17 +228,18 @@ def queries() -> dict[str, Query]:
 # The formatted length follows from the template: control strings, and one character more for each escape.
 OP8_SQL = f"""
 WITH turns AS (
-  SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+    CASE WHEN conv_id IS NULL THEN ROW_NUMBER() OVER () END AS alone
   FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '{FORGED_TEXT}'
-  UNION ALL SELECT -1, 1, 'assistant', '{FORGED_TEXT}'
+  UNION ALL SELECT -1, 0, 'user', '{FORGED_TEXT}', NULL
+  UNION ALL SELECT -1, 1, 'assistant', '{FORGED_TEXT}', NULL
 ), joined AS (
   SELECT conv_id, COUNT(*) AS n_turns,
     STRING_AGG(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS flat,
     COALESCE(STRING_AGG(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
     SUM(LENGTH('<|im_start|>') + LENGTH(REPLACE(REPLACE(REPLACE(role, chr(92), 'xx'), '<|', 'xxx'), chr(10), 'xx')) + 1
         + LENGTH(REPLACE(REPLACE(text, chr(92), 'xx'), '<|', 'xxx')) + LENGTH('<|im_end|>') + 1) AS formatted
-  FROM turns GROUP BY conv_id
+  FROM turns GROUP BY conv_id, alone
 )
 SELECT conv_id, n_turns, SHA256(flat) AS turns_sha256, LENGTH(loss) AS loss_chars, SHA256(loss) AS loss_sha256,
   CAST(formatted AS BIGINT) AS formatted_chars

@@ -103,3 +103,11 @@ def test_durations_that_are_no_number_count_as_none():
     sizes = [{"type": "audio", "seconds": x} for x in (float("nan"), float("inf"), float("-inf"), None, -3.0, 2.0)]
     _, _, found = chat.format_turns([("user", sizes)])
     assert [a.tokens for a in found] == [1, 1, 1, 1, 1, 2 * chat.AUDIO_TOKENS_A_SECOND]
+
+
+def test_rows_without_conversation(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b")] + [(None, i, "assistant", "x" * (i % 3)) for i in range(300)]
+    out = queries.op8_typed_chat(spark, save(spark, tmp_path / "a", rows, SCHEMA, "conversations")).collect()
+    alone = [(r["n_turns"], r["loss_chars"]) for r in out if r["conv_id"] is None]
+    assert sorted(alone) == [(1, n) for n in range(3) for _ in range(100)]
+    assert {r["conv_id"]: r["n_turns"] for r in out if r["conv_id"] is not None} == {1: 2, -1: 2}
