@@ -258,6 +258,18 @@ def test_scratch_on_a_cluster_is_shared():
             session.scratch_root(Named(master="spark://n:1", **conf))
 
 
+def test_scratch_without_a_shared_setting():
+    """On one machine any folder that is named will do; elsewhere the warehouse, unless it is machine-local."""
+    assert session.scratch_root(Named(master="local-cluster[2,1,1024]", checkpoint_dir="/x/")) == "/x"
+    warehouse = {"sql_warehouse_dir": "file:/w/"}
+    assert session.scratch_root(Named(master="local-cluster[2,1,1024]", **warehouse)) == "file:/w/pregao-scratch"
+    for conf in ({"sql_warehouse_dir": "hdfs://n/w"}, {"sql_warehouse_dir": "hdfs://n/w", "checkpoint_dir": "/tmp/x"}):
+        assert session.scratch_root(Named(master="yarn", **conf)) == "hdfs://n/w/pregao-scratch"
+    assert session.scratch_root(Named("hdfs", master="yarn", sql_warehouse_dir="/w")) == "/w/pregao-scratch"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(Named(master="spark://n:1", **warehouse))
+
+
 def test_release_deletes_its_own_tables_only(spark, tmp_path):
     kept = session.materialise(spark.range(5).toDF("n"), "kept")
     spark.range(3).toDF("n").write.parquet(str(tmp_path / "other"))
