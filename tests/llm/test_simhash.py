@@ -115,7 +115,10 @@ def test_keep_first(spark):
 def test_unlike_documents_that_share_an_id_all_stay(spark):
     texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
     rows = [(1, t) for t in texts[:3]] + [(2, texts[3]), (None, texts[4]), (None, texts[5])]
-    rows += [(1, texts[0]), (1, texts[1] + " b59"), (9, texts[5]), (1, texts[2])]
+    # A near copy is one whose fingerprint differs in few bits; with one more b59 it differs in five.
+    near = texts[1] + " b59 b59"
+    assert (simhash.fingerprint(near.encode()) ^ simhash.fingerprint(texts[1].encode())).bit_count() <= simhash.MAX_BITS
+    rows += [(1, texts[0]), (1, near), (9, texts[5]), (1, texts[2])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [(r["doc_id"], r["text"][0]) for r in simhash.keep_first(df).collect()]
     assert sorted(kept, key=str) == sorted([(1, "a"), (1, "b"), (1, "c"), (2, "d"), (None, "e"), (9, "f")], key=str)
