@@ -270,6 +270,31 @@ def test_scratch_without_a_shared_setting():
         session.scratch_root(Named(master="spark://n:1", **warehouse))
 
 
+class Standalone(Named):
+    """A session that says it is on a standalone cluster; of the rows it writes some may be lost."""
+
+    def __init__(self, spark, lost=0, **conf):
+        super().__init__(master="spark://n:1", **conf)
+        self.sparkContext, self._jvm, self.read = spark.sparkContext, spark._jvm, spark.read
+        self.range = lambda start, end, step, parts: spark.range(start, end - lost, step, parts)
+
+
+def test_scratch_on_a_cluster_of_one_machine(spark, tmp_path):
+    """A path without a scheme will do, if all that executors write there is seen; else the warehouse, tried likewise."""
+    named, warehouse = str(tmp_path / "named"), f"file:{tmp_path}/warehouse"
+    both = {"checkpoint_dir": f"{named}/", "sql_warehouse_dir": warehouse}
+    assert session.scratch_root(Standalone(spark, **both)) == named
+    assert session.scratch_root(Standalone(spark, sql_warehouse_dir=warehouse)) == f"{warehouse}/pregao-scratch"
+    (tmp_path / "file").write_text("")
+    both["checkpoint_dir"] = f"{tmp_path}/file"  # no folder can be made there
+    assert session.scratch_root(Standalone(spark, **both)) == f"{warehouse}/pregao-scratch"
+    assert not list((tmp_path / "named/pregao").iterdir())
+    refused = [Standalone(spark, lost=1, **both), Standalone(spark, checkpoint_dir=named, dynamicAllocation_enabled="true")]
+    for other in refused:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.scratch_root(other)
+
+
 def test_release_deletes_its_own_tables_only(spark, tmp_path):
     kept = session.materialise(spark.range(5).toDF("n"), "kept")
     spark.range(3).toDF("n").write.parquet(str(tmp_path / "other"))
