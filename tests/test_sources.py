@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import time
 
 import pytest
 from ledgers import as_dicts, ledger
@@ -303,3 +304,20 @@ def test_release_deletes_its_own_tables_only(spark, tmp_path):
     assert session.release(other) == 0 and other.count() == 3
     with pytest.raises(Exception, match="(?i)not.*exist|not_found|FileNotFound"):
         kept.collect()
+
+
+def test_shuffles_of_a_written_table_go_with_its_write(spark):
+    """They would wait for the garbage collector of the driver, on the disks of the executors."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def listed() -> set[str]:
+        found = files.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    before = listed()
+    kept = session.materialise(spark.range(1000).repartition(3, "id"), "dealt")
+    deadline = time.monotonic() + 20
+    while (left := {f for f in listed() - before if f.endswith(".data")}) and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not left and kept.count() == 1000
+    assert spark.conf.get(session.SHUFFLES_END) == "false"
