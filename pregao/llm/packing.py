@@ -37,13 +37,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pregao.llm.common import numbered
+from pregao.llm.common import numbered, released
 from pregao.session import materialise
 
 CAPACITY = 4096
 END_TOKEN = 1
 BINS = 256
-SLICE_BYTES = 12_000_000  # text tokenized at once
+SLICE_BYTES = 4_000_000  # text tokenized at once
 KNOWN_PARTS = 400_000  # word parts whose ids a process remembers, about 100 MB
 
 
@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece of every document."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda batches: _pieces(batches, path, capacity, with_ids), schema)
+    return rows.mapInArrow(lambda batches: released(_pieces(batches, path, capacity, with_ids)), schema)
 
 
 def bin_patterns(bins: int) -> np.ndarray:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -127,3 +128,22 @@ def test_ids_are_those_of_the_file(monkeypatch):
         for _ in range(2):
             flat, ends = packing.token_ids(tok, pa.array(texts))
             assert [flat[a:b].tolist() for a, b in itertools.pairwise(ends)] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_memory_of_a_task_is_bounded_by_slices_of_text(monkeypatch):
+    """Tokenizing 23 MB of text that come in one batch takes a few times a slice, not the batch."""
+
+    class Stub:
+        added = None
+
+        def ids(self, parts):
+            return [np.array([len(p)] * 2, np.uint32).tobytes() for p in parts]
+
+    monkeypatch.setattr(packing, "tokenizer", lambda path: Stub())
+    texts = ["some words of a text that is like others " * 80] * 7000
+    batch = pa.record_batch([pa.array(range(7000)), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in packing._pieces(iter([batch]), "", 4096, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 7000 and peak < 80e6
